@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tilespark.llm import exact_dedup, mixing, sharding
+from tilespark.llm import exact_dedup, mixing, quality, sharding, toxicity
 
 QUERIES = {
+    "op2_kernel_quality": quality.op2_kernel_quality,
     "op4_virtual_slots": sharding.op4_virtual_slots,
     "op5_target_mix": mixing.op5_target_mix,
+    "op7_ftrl_toxicity": toxicity.op7_ftrl_toxicity,
     "op8_chunk_recipes": exact_dedup.op8_chunk_recipes,
 }
 ORACLES = {"op5_target_mix": mixing.ORACLE, "op8_chunk_recipes": exact_dedup.ORACLE}

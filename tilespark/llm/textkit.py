@@ -21,6 +21,8 @@ _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Letters only: all of ASCII but A-Z and a-z parts words; bytes of other scripts don't.
+NOT_LETTERS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -60,11 +62,11 @@ def loads(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 8,), (1,))
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and its row."""
+def words(data: np.ndarray, offs: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and its row. ``between`` says of each byte value whether it parts words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     first, last = np.ones(len(data), bool), np.ones(len(data), bool)
     first[1:] = ~solid[:-1]
     last[:-1] = ~solid[1:]
