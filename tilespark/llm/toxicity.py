@@ -30,7 +30,7 @@ DIMENSIONS = 1 << 22
 PER_CLASS = 15_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1.0, 1.0, 3
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 4.0, 1.0, 3
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
