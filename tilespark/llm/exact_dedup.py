@@ -91,6 +91,7 @@ def groups(docs: DataFrame) -> DataFrame:
     if dictionary(table, width).where(~F.col("same")).limit(1).count():
         width, table = 32, doc_recipes(docs, strong=True)
     shared = table.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_")).alias("keep_"), F.count("*").alias("group_size")).where("group_size > 1").withColumnRenamed("recipe", "key_")
+    shared = storage.staged(shared, "recipe-groups")  # else both sides share an exchange, and a hot group's partition can't be split
     joined = table.join(shared, F.col("recipe") == F.col("key_"), "left")
     return joined.select(
         "doc_id",
