@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilespark.llm import exact_dedup, mixing, quality, sharding, toxicity
+from tilespark.llm import exact_dedup, mixing, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op2_kernel_quality": quality.op2_kernel_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_target_mix": mixing.op5_target_mix,
     "op7_ftrl_toxicity": toxicity.op7_ftrl_toxicity,
     "op8_chunk_recipes": exact_dedup.op8_chunk_recipes,
+    "op9_hamming_near_dedup": near_dedup.op9_hamming_near_dedup,
 }
 ORACLES = {"op5_target_mix": mixing.ORACLE, "op8_chunk_recipes": exact_dedup.ORACLE}
 
