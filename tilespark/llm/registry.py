@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tilespark.llm import exact_dedup, mixing, near_dedup, quality, sharding, toxicity
+from tilespark.llm import decontamination, exact_dedup, mixing, near_dedup, pii, quality, sharding, toxicity
 
 QUERIES = {
     "op2_kernel_quality": quality.op2_kernel_quality,
     "op4_virtual_slots": sharding.op4_virtual_slots,
     "op5_target_mix": mixing.op5_target_mix,
+    "op6_containment_search": decontamination.op6_containment_search,
     "op7_ftrl_toxicity": toxicity.op7_ftrl_toxicity,
     "op8_chunk_recipes": exact_dedup.op8_chunk_recipes,
     "op9_hamming_near_dedup": near_dedup.op9_hamming_near_dedup,
+    "op10_contextual_pii": pii.op10_contextual_pii,
 }
-ORACLES = {"op5_target_mix": mixing.ORACLE, "op8_chunk_recipes": exact_dedup.ORACLE}
+ORACLES = {"op5_target_mix": mixing.ORACLE, "op6_containment_search": decontamination.ORACLE, "op8_chunk_recipes": exact_dedup.ORACLE}
 
 
 def queries() -> dict:

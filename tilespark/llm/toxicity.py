@@ -132,9 +132,8 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that score ``THRESHOLD`` or more."""
-    plain = docs.withColumnRenamed("score_", "score__") if "score_" in docs.columns else docs
-    out = add_scores(plain, model(docs, labels), plain.columns).where(F.col("score_") < THRESHOLD).drop("score_")
-    return out.toDF(*docs.columns)
+    wrapped = docs.select(F.struct("*").alias("row_"), "text")
+    return add_scores(wrapped, model(docs, labels), ["row_"]).where(F.col("score_") < THRESHOLD).select("row_.*")
 
 
 def op7_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
