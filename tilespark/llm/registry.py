@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tilespark.llm import decontamination, exact_dedup, mixing, near_dedup, pii, quality, sharding, toxicity
+import corpus_pipeline
+from tilespark.llm import decontamination, exact_dedup, mixing, near_dedup, pii, quality, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op2_kernel_quality": quality.op2_kernel_quality,
+    "op3_suffix_array_dedup": substring_dedup.op3_suffix_array_dedup,
     "op4_virtual_slots": sharding.op4_virtual_slots,
     "op5_target_mix": mixing.op5_target_mix,
     "op6_containment_search": decontamination.op6_containment_search,
@@ -13,6 +15,7 @@ QUERIES = {
     "op8_chunk_recipes": exact_dedup.op8_chunk_recipes,
     "op9_hamming_near_dedup": near_dedup.op9_hamming_near_dedup,
     "op10_contextual_pii": pii.op10_contextual_pii,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op5_target_mix": mixing.ORACLE, "op6_containment_search": decontamination.ORACLE, "op8_chunk_recipes": exact_dedup.ORACLE}
 
