@@ -210,7 +210,7 @@ def compared(s: Suffixes, key: np.ndarray) -> np.ndarray:
 
 def pressed(*columns: np.ndarray) -> bytes:
     """Columns of one length, bytes of like weight together, compressed."""
-    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T if c.ndim == 1 else c).tobytes() for c in columns)
+    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T if c.ndim == 1 else c).tobytes() for c in columns)
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
