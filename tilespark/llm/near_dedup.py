@@ -265,12 +265,13 @@ def deduped(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id."""
     found = storage.staged(membership(docs).select("key_", "kept", "n_shingles"), "near-kept")
     gone = storage.staged(found.groupBy("key_").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"), F.max("n_shingles").alias("n")), "near-keys")
-    kept = held_by(docs.withColumn("key__", key_of()), gone.where("NOT kept").select(F.col("key_").alias("key__")), "key__", "left_anti")
-    again = gone.where("kept AND rows > 1 AND n > 0").select(F.col("key_").alias("key__"))
+    rows = docs.select(F.struct("*").alias("row_"), key_of().alias("key_"))
+    kept = held_by(rows, gone.where("NOT kept").select("key_"), "key_", "left_anti")
+    again = gone.where("kept AND rows > 1 AND n > 0").select("key_")
     if not again.limit(1).count():
-        return kept.drop("key__")
-    once = held_by(kept, again, "key__", "left_semi").dropDuplicates(["key__"])
-    return held_by(kept, again, "key__", "left_anti").unionByName(once).drop("key__")
+        return kept.select("row_.*")
+    once = held_by(kept, again, "key_", "left_semi").dropDuplicates(["key_"])
+    return held_by(kept, again, "key_", "left_anti").unionByName(once).select("row_.*")
 
 
 def op9_hamming_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

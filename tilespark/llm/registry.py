@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tilespark.llm import decontamination, exact_dedup, mixing, near_dedup, pii, quality, sharding, substring_dedup, toxicity
+from tilespark.llm import decontamination, exact_dedup, mixing, near_dedup, passages, pii, quality, sharding, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_compact_windows": passages.op1_compact_windows,
     "op2_kernel_quality": quality.op2_kernel_quality,
     "op3_suffix_array_dedup": substring_dedup.op3_suffix_array_dedup,
     "op4_virtual_slots": sharding.op4_virtual_slots,
