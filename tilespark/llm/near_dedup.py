@@ -11,9 +11,12 @@ about 2 in 100 000.
 
 Pairs are never expanded within a bucket. Round one links each node to one bucket
 head and confirms that on the full sets. Round two looks only at buckets that
-still hold several components, in blocks, and emits pairs of different components
-within the distance; those are confirmed too. So no link between components
-is lost, and copies of one text cost one link each.
+still hold several components, in blocks, for pairs of different components within
+the distance; those are confirmed too. A block with few such pairs emits them; one
+with many is filled with the texts of its members instead, each once, compared as a
+whole, and emits a spanning forest of the links found. So no link between
+components is lost, copies of one text cost one link each, and no stage makes more
+rows than a small multiple of its members.
 
 Edge cases: null and empty texts have an empty set, link with nothing, and stay;
 fewer than five words are one shingle; a null id counts as missing (its text
@@ -41,6 +44,9 @@ CHUNKS = SYMBOLS // WIDTH
 DISTANCE = 2 * CHUNKS - 1
 SHARE_OF_100 = 75
 BLOCK = 1024
+#: A block emits up to so many pairs a member.
+PAIRS_A_MEMBER = 4
+COLUMNS = 4096
 TEXTS_A_GROUP = 256
 #: Up to so many ids (8 bytes each) a list is broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
@@ -134,42 +140,95 @@ def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_bucket, last_head, alone = bucket[-1], head[-1], bool(new[-1])
 
 
-def unequal(signs: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return (signs[one] != signs[other]).sum(axis=1)
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """From rows in order of ``keys``: the rows of each key together."""
+    held: list[pa.RecordBatch] = []
+    mark = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        place = np.column_stack([batch.column(c).to_numpy() for c in keys])
+        edges = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, [len(batch)]])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if mark is not None and (place[a] != mark).any():
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            mark = place[a]
+            held.append(batch.slice(int(a), int(b - a)))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of a block: pairs of nodes with different labels, sets of fitting sizes and near signatures."""
+FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+
+def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block its pairs (a, b) of different labels, fitting sizes and near signatures; or, if they are many, the block's own key."""
+    for rows in runs(batches, ("bucket", "lo", "hi")):
         node, label, n, block = (rows.column(c).to_numpy() for c in ("node", "label", "n", "block"))
         signs = matrix(rows.column("sign"))
-        low, high = block == rows.column("lo")[0].as_py(), block == rows.column("hi")[0].as_py()
-        right = np.flatnonzero(high)
-        found = []
+        mark = [rows.column(c)[0].as_py() for c in ("bucket", "lo", "hi")]
+        low, right = block == mark[1], np.flatnonzero(block == mark[2])
+        found, count, most = [], 0, max(64, PAIRS_A_MEMBER * len(node))
         for i in np.flatnonzero(low):
             j = right[(label[right] != label[i]) & ((node[right] > node[i]) | ~low[right])]
             j = j[100 * np.minimum(n[i], n[j]) >= SHARE_OF_100 * np.maximum(n[i], n[j])]
             j = j[(signs[j] != signs[i]).sum(axis=1) <= DISTANCE]
+            count += len(j)
+            if count > most:
+                break
             if len(j):
                 found.append(np.column_stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-        if found:
+        if count > most:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (None, None, *mark)], schema=FOUND)
+        elif found:
             both = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+            none = pa.nulls(len(both), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), none, none, none], schema=FOUND)
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, from the values that two or more of them have."""
+    size = np.array([len(s) for s in sets])
+    values, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, common = np.repeat(np.arange(len(sets)), size), np.flatnonzero(uses > 1)
+    place = np.full(len(values), -1)
+    place[common] = np.arange(len(common))
+    column = place[column]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, len(common), COLUMNS):
+        own = (column >= at) & (column < at + COLUMNS)
+        part = np.zeros((len(sets), min(COLUMNS, len(common) - at)), np.float32)
+        part[row[own], column[own] - at] = 1
+        out += part @ part.T
+    return out
 
-    held: list[pa.RecordBatch] = []
-    mark = None
-    for batch in batches:
-        place = np.column_stack([batch.column(c).to_numpy() for c in ("bucket", "lo", "hi")])
-        edges = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, [len(batch)]]) if len(batch) else [0]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if mark is not None and (place[a] != mark).any():
-                yield from pairs(pa.Table.from_batches(held).combine_chunks())
-                held = []
-            mark = place[a]
-            held.append(batch.slice(int(a), int(b - a)))
-    if held:
-        yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block, from the texts of its members: links that connect whatever its links connect."""
+    unpack = zstandard.ZstdDecompressor()
+    for rows in runs(batches, ("bucket", "lo", "hi")):
+        node = rows.column("node").to_numpy()
+        sets = []
+        for raw in rows.column("pack"):
+            data = np.frombuffer(unpack.decompress(raw.as_py()), np.uint8)
+            sets.append(textkit.shingle_sets(data, np.array([0, len(data)]))[0])
+        shared, size = shared_counts(sets), np.array([len(s) for s in sets], np.float32)
+        linked = 100 * shared >= SHARE_OF_100 * (size[:, None] + size[None, :] - shared)
+        open_, tree = np.ones(len(node), bool), []
+        for start in range(len(node)):
+            if not open_[start]:
+                continue
+            open_[start] = False
+            waiting = [start]
+            while waiting:
+                i = waiting.pop()
+                new = np.flatnonzero(linked[i] & open_)
+                open_[new] = False
+                tree += [(node[i], node[j]) for j in new]
+                waiting += new.tolist()
+        if tree:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in tree], pa.int64()), pa.array([x for _, x in tree], pa.int64())], names=["u", "v"])
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,12 +268,15 @@ def held_by(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
 
 
-def verified(docs: DataFrame, every: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are links, as (u, v). A hot node's partners are split into groups of bounded size."""
-    pairs = storage.staged(pairs, "near-pairs")
-    wanted = storage.staged(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(every.select("node", "key_", "print"), "node"), "near-wanted")
+def packs_of(docs: DataFrame, every: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, pack: the compressed text of each node of ``ids``."""
+    wanted = storage.staged(ids.distinct().join(every.select("node", "key_", "print"), "node"), "near-wanted")
     texts = held_by(docs.select(key_of().alias("key_"), "text"), wanted, "key_", "inner")
-    packs = storage.staged(texts.select("node", "print", "text").mapInArrow(packed, "node long, pack binary").dropDuplicates(["node"]), "near-packs")
+    return storage.staged(texts.select("node", "print", "text").mapInArrow(packed, "node long, pack binary").dropDuplicates(["node"]), "near-packs")
+
+
+def verified(pairs: DataFrame, packs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are links, as (u, v). A hot node's partners are split into groups of bounded size."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TEXTS_A_GROUP).alias("parts"))
     split = storage.staged(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "near-split")
     partners = split.join(packs.withColumnRenamed("node", "b"), "b").select("a", "part", "b", F.lit(1).alias("side"), "pack")
@@ -223,13 +285,18 @@ def verified(docs: DataFrame, every: DataFrame, pairs: DataFrame) -> DataFrame:
     return storage.staged(ordered.mapInArrow(confirmed, "u long, v long"), "near-links")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 def links(docs: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, labels): confirmed links that connect every component, and node, label for nodes with links."""
     rows = every.select("node", "sign").mapInArrow(lookups, "bucket long, node long").repartition("bucket").sortWithinPartitions("bucket", "node")
     buckets = storage.staged(rows.mapInArrow(headed, "bucket long, head long, node long"), "near-buckets")
     stars = buckets.where("head <> node").groupBy("head", "node").agg(F.count("*").alias("times"))
     tried = stars.groupBy("node").agg(F.max(F.struct("times", F.negative("head").alias("h"))).alias("best")).select(F.negative(F.col("best.h")).alias("a"), F.col("node").alias("b"))
-    first = verified(docs, every, tried)
+    tried = storage.staged(tried, "near-tried")
+    first = verified(tried, packs_of(docs, every, ends(tried)))
     label = storage.staged(components.labels(first), "near-labels")
 
     members = buckets.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
@@ -237,8 +304,17 @@ def links(docs: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     blocks = members.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label")
-    signed = blocks.join(every.select("node", "n", "sign"), "node").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    second = verified(docs, every, signed.mapInArrow(crossing, "a long, b long").distinct())
+    blocks = storage.staged(blocks, "near-blocks")
+    keys = ["bucket", "lo", "hi"]
+    signed = blocks.join(every.select("node", "n", "sign"), "node").repartition(*keys).sortWithinPartitions(*keys)
+    found = storage.staged(signed.mapInArrow(crossing, "a long, b long, bucket long, lo long, hi long"), "near-found")
+    pairs = storage.staged(found.where("bucket IS NULL").select("a", "b").distinct(), "near-pairs")
+    filled = storage.staged(blocks.join(found.where("bucket IS NOT NULL").select(*keys), keys, "left_semi").select(*keys, "node"), "near-filled")
+    packs = packs_of(docs, every, ends(pairs).union(filled.select("node")))
+    second = verified(pairs, packs)
+    whole = filled.join(packs, "node").repartition(*keys).sortWithinPartitions(*keys)
+    third = storage.staged(whole.mapInArrow(compared, "u long, v long"), "near-block-links")
+    second = second.union(third)
     edges = storage.staged(first.union(second), "near-edges")
     return edges, storage.staged(components.labels(edges), "near-labels")
 

@@ -183,7 +183,7 @@ def partial_intervals(s: Suffixes, new: np.ndarray) -> np.ndarray:
 
 
 def compared(s: Suffixes, key: np.ndarray) -> np.ndarray:
-    raw = s.words.astype(">u8").view(np.uint8).reshape(len(s), -1)
+    raw = s.words.astype(">u8").view(np.uint8).reshape(len(s), LENGTH + SPARE)
 
     def running(part: np.ndarray, salt: int) -> np.ndarray:
         out = np.zeros((part.shape[1] + 1, len(s)), np.uint64)
@@ -228,7 +228,7 @@ def unpressed(blob: bytes, rows: int, kinds: list) -> list[np.ndarray]:
 
 
 def suffix_blob(s: Suffixes) -> bytes:
-    raw = s.words.astype(">u8").view(np.uint8).reshape(len(s), -1)
+    raw = s.words.astype(">u8").view(np.uint8).reshape(len(s), LENGTH + SPARE)
     return pressed(raw[:, :LENGTH], raw[:, LENGTH:], s.left, s.right, s.doc, s.nth, s.at)
 
 
