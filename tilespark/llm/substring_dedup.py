@@ -42,7 +42,8 @@ KEY = LENGTH - STEP + 1
 SPARE = STEP - 1
 GRAMS = LENGTH - GRAM + 1
 #: Text whose suffixes a bucket holds on average, and that a task gathers before it sends. Raise both with executor memory.
-BUCKET_TEXT, TASK_TEXT = 12 << 20, 20 << 20
+BUCKET_TEXT, TASK_TEXT = 12 << 20, 12 << 20
+BATCH_BYTES = 2 << 20
 SAMPLE_DOCS = 2_000
 #: Up to this size the table of removed runs is broadcast; beyond, the texts are shuffled to it.
 BROADCAST_BYTES = 48 << 20
@@ -259,10 +260,12 @@ def bucket_of(words: np.ndarray, splitters: np.ndarray) -> np.ndarray:
 SENT = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("suffixes", pa.binary()), ("m", pa.int64()), ("runs", pa.binary())])
 
 
-def sent(parts: list[Suffixes], splitters: np.ndarray) -> pa.RecordBatch:
-    """What a task sends to each bucket: suffixes, and intervals that are decided already."""
+def sent(parts: list[Suffixes], splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What a task sends to each bucket: suffixes, and intervals that are decided already. Batches are small, as both sides hold them whole."""
     buckets = len(splitters) + 1
-    s, new = sorted_by_surroundings(Suffixes.joined(parts))
+    s = Suffixes.joined(parts)
+    parts.clear()  # what is held twice counts twice
+    s, new = sorted_by_surroundings(s)
     done = repeated(s, new)
     runs = whole_intervals(s, np.flatnonzero(done))
     s = s.take(np.flatnonzero(~done))
@@ -271,12 +274,18 @@ def sent(parts: list[Suffixes], splitters: np.ndarray) -> pa.RecordBatch:
     own = doc_bucket(runs[:, 0], buckets)
     runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0], own))]
     run_edges = np.searchsorted(np.sort(own), np.arange(buckets + 1))
-    rows = []
+    rows: list[tuple] = []
+    weight = 0
     for b in range(buckets):
         part, got = s.take(np.arange(edges[b], edges[b + 1])), runs[run_edges[b] : run_edges[b + 1]]
         if len(part) or len(got):
             rows.append((b, len(part), suffix_blob(part), len(got), pressed(*got.T)))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, SENT, strict=True)], schema=SENT)
+            weight += len(rows[-1][2]) + len(rows[-1][4])
+        if weight >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SENT, strict=True)], schema=SENT)
+            rows, weight = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SENT, strict=True)], schema=SENT)
 
 
 def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Suffixes]]:
@@ -315,10 +324,10 @@ def gathered(batches: Iterator[pa.RecordBatch], splitters: np.ndarray) -> Iterat
         held.append(part)
         size += n
         if size >= TASK_TEXT:
-            yield sent(held, splitters)
+            yield from sent(held, splitters)
             held, size = [], 0
     if held:
-        yield sent(held, splitters)
+        yield from sent(held, splitters)
 
 
 RUNS = pa.schema([("bucket", pa.int32()), ("m", pa.int64()), ("runs", pa.binary())])
@@ -328,14 +337,15 @@ def decided(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     """One bucket: its suffixes sorted and compared, to intervals for the buckets of their documents."""
     held, runs = [], []
     for batch in batches:
-        for r in batch.to_pylist():
-            if r["n"]:
-                held.append(suffixes_of(r["suffixes"], r["n"]))
-            if r["m"]:
-                runs.append(np.column_stack(unpressed(r["runs"], r["m"], [np.int64] * 4)))
+        for n, blob, m, run in zip(*(batch.column(c) for c in ("n", "suffixes", "m", "runs")), strict=True):
+            if n.as_py():
+                held.append(suffixes_of(blob.as_py(), n.as_py()))
+            if m.as_py():
+                runs.append(np.column_stack(unpressed(run.as_py(), m.as_py(), [np.int64] * 4)))
     if held:
-        s, new = sorted_by_surroundings(Suffixes.joined(held))
+        s = Suffixes.joined(held)
         held.clear()
+        s, new = sorted_by_surroundings(s)
         done = repeated(s, new)
         runs.append(whole_intervals(s, np.flatnonzero(done)))
         runs.append(partial_intervals(s.take(np.flatnonzero(~done)), new))
