@@ -2,7 +2,13 @@
 
 Words are summed by source, targets follow from the weights, a source's rate is
 its target over its size, and each document is emitted floor(rate) times, plus
-once more if a hash of its id falls below the fraction of the rate.
+once more if a hash of its id, a number in [0, 1), falls below a threshold.
+
+The threshold is the fraction of the rate, moved to that of ``STEPS`` steps at which
+the words that the draw takes come nearest to what the target asks for. With the
+bare fraction, long texts leave sources of a few dozen documents up to 57 % off
+their targets (19 % with some 500 documents, 4 % with 5000); the draw is else the
+same, by the hash alone.
 
 Edge cases: a null text has size 0; the null source is a source of its own, last
 in order; a null id hashes as the text 'null'; repeated rows get the same number
@@ -20,6 +26,7 @@ from tilespark.llm import storage
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SEED = "mix-1"
+STEPS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to so many sources the table of rates is broadcast (under 2 MB); beyond, the join is shuffled and skewed parts are split.
 BROADCAST_SOURCES = 20_000
@@ -56,6 +63,27 @@ def rates(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return out.withColumn("rate_", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
 
+def step_of(doc_id: Column, seed: str = SEED) -> Column:
+    return F.floor(chance(doc_id, seed) * STEPS).cast("int")
+
+
+def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+    """source, source_size, target, rate_, cut_ from rows of (doc_id, source, size): draw where the step of the hash is below ``cut_``.
+
+    Words are summed by source and step first; what follows has at most STEPS rows a source.
+    """
+    sums = storage.staged(rows.groupBy("source", step_of(F.col("doc_id"), seed).alias("step_")).agg(F.sum("size").alias("size")), "mix-steps")
+    table = storage.staged(rates(sums, weights), "mix-rates")
+    upto = Window.partitionBy("source").orderBy("step_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drawn = sums.select("source", (F.col("step_") + 1).alias("cut_"), F.sum("size").over(upto).alias("words_"))
+    drawn = drawn.union(table.select("source", F.lit(0), F.lit(0).cast("long")))
+    joined = with_rates(drawn, table)
+    wished = (F.col("rate_") - F.floor("rate_")) * F.col("source_size")
+    best = joined.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words_") - wished).alias("off"), "cut_"))["cut_"].alias("cut_"))
+    side = best.withColumnRenamed("source", "key_")
+    return storage.staged(table.join(side, F.col("source").eqNullSafe(F.col("key_"))).drop("key_"), "mix-thresholds")
+
+
 def with_rates(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Each row with its source's rate. ``table`` has one row a source and is staged."""
     side = table.withColumnRenamed("source", "source_key_")
@@ -65,20 +93,18 @@ def with_rates(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def copies(seed: str = SEED) -> Column:
-    whole = F.floor("rate_")
-    return F.coalesce(whole + F.when(chance(F.col("doc_id"), seed) < F.col("rate_") - whole, 1).otherwise(0), F.lit(0)).cast("int")
+    return F.coalesce(F.floor("rate_") + F.when(step_of(F.col("doc_id"), seed) < F.col("cut_"), 1).otherwise(0), F.lit(0)).cast("int")
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: one row a document."""
     sized = storage.staged(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "mix-sizes")
-    table = storage.staged(rates(sized, weights), "mix-rates")
-    return with_rates(sized, table).withColumn("copies", copies(seed)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return with_rates(sized, thresholds(sized, weights, seed)).withColumn("copies", copies(seed)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """The mix: each document as often as it is taken, with the columns of ``docs``."""
-    table = storage.staged(rates(docs.select("source", words_in(F.col("text")).alias("size")), weights), "mix-rates")
+    table = thresholds(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), weights, seed)
     kept = docs.select(F.struct("*").alias("row_"), "doc_id", "source")
     repeated = with_rates(kept, table).withColumn("copies_", copies(seed)).where("copies_ > 0")
     return repeated.select("row_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select("row_.*")
@@ -106,11 +132,17 @@ WITH sized AS (
 ), chosen AS (SELECT level FROM leveled WHERE level <= stop ORDER BY stop, nth LIMIT 1
 ), targets AS (
   SELECT source, source_size, least(cap, (SELECT level FROM chosen) * weight) AS target FROM leveled
-), drawn AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0e0 END AS rate,
-    CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0 AS u
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-), counted AS (SELECT *, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS INTEGER) AS copies FROM drawn)
+), rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END AS rate FROM targets
+), stepped AS (
+  SELECT doc_id, source, size,
+    CAST(floor(CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0 * 4096) AS INTEGER) AS step FROM sized
+), summed AS (SELECT source, step, sum(size) AS size FROM stepped GROUP BY source, step
+), upto AS (
+  SELECT source, step + 1 AS cut, CAST(sum(size) OVER (PARTITION BY source ORDER BY step) AS BIGINT) AS words FROM summed UNION ALL SELECT source, 0, 0 FROM targets
+), ordered AS (
+  SELECT u.source, cut, row_number() OVER (PARTITION BY u.source ORDER BY abs(words - (rate - floor(rate)) * source_size), cut) AS n FROM upto u JOIN rated r ON u.source IS NOT DISTINCT FROM r.source
+), counted AS (
+  SELECT s.doc_id, s.size, r.source_size, r.target, CAST(floor(rate) + CASE WHEN step < cut THEN 1 ELSE 0 END AS INTEGER) AS copies
+  FROM stepped s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source JOIN ordered o ON s.source IS NOT DISTINCT FROM o.source AND o.n = 1)
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies FROM counted
 """
