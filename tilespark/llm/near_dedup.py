@@ -277,7 +277,7 @@ def packs_of(docs: DataFrame, every: DataFrame, ids: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, packs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are links, as (u, v). A hot node's partners are split into groups of bounded size."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TEXTS_A_GROUP).alias("parts"))
+    parts = storage.staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / TEXTS_A_GROUP).alias("parts")), "near-parts")
     split = storage.staged(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "near-split")
     partners = split.join(packs.withColumnRenamed("node", "b"), "b").select("a", "part", "b", F.lit(1).alias("side"), "pack")
     own = split.select("a", "part").distinct().join(packs.withColumnRenamed("node", "a"), "a").select("a", "part", F.col("a").alias("b"), F.lit(0).alias("side"), "pack")
@@ -329,7 +329,7 @@ def membership(docs: DataFrame) -> DataFrame:
     edges, label = links(docs, every)
     degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     labelled = every.select("node", "print", "first_doc").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = labelled.groupBy("label").agg(F.min("first_doc").alias("component_id"), F.min("node").alias("first_row"))
+    names = storage.staged(labelled.groupBy("label").agg(F.min("first_doc").alias("component_id"), F.min("node").alias("first_row")), "near-labels-named")
     named = storage.staged(labelled.join(names, "label").join(degree, "node", "left").select("print", "component_id", "first_row", F.coalesce("links", F.lit(0)).alias("links")), "near-names")
     rows = digest.select("doc_id", "row_", "key_", F.col("n").alias("n_shingles"), "print")
     joined = rows.where("n_shingles > 0").join(named, "print").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("row_") == F.col("first_row"))).alias("kept"), "links", "row_", "key_")
