@@ -205,3 +205,35 @@ def test_empty_tables(empty):
     assert near_dedup.deduped(empty).columns == empty.columns
     assert substring_dedup.digest(empty).count() == 0
     assert passages.found(empty).count() == 0
+
+
+def test_crowded_group_against_all_pairs(frame, monkeypatch):
+    """Hundreds of variants of one text, most pairs not similar enough: blocks are compared as a whole."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    monkeypatch.setattr(near_dedup, "PAIRS_A_MEMBER", 1)
+    rng = np.random.default_rng(9)
+    base, pairs = words(500, 120), []
+    for i in range(260):
+        copy = list(base)
+        for _ in range(int(rng.integers(0, 9))):
+            copy[int(rng.integers(len(copy)))] = f"v{i}x{rng.integers(99)}"
+        pairs.append((i, " ".join(copy)))
+    sets = [shingle_set(t) for _, t in pairs]
+    label = list(range(260))
+    changed = True
+    near = [(i, j) for i in range(260) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in near:
+            low = min(label[i], label[j])
+            changed |= label[i] != low or label[j] != low
+            label[i] = label[j] = low
+    out = {r["doc_id"]: r["component_id"] for r in near_dedup.membership(frame(pairs)).collect()}
+    assert out == dict(enumerate(label)) and len(set(label)) > 3
+
+
+def test_shared_counts_match_sets():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(30)]
+    got = near_dedup.shared_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30) if i != j)

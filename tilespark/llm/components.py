@@ -31,7 +31,9 @@ def labels(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = storage.staged(small.where("u <> v").distinct(), "stars")
+        last, edges = edges, storage.staged(small.where("u <> v").distinct(), "stars")
+        for old in (last, large):
+            storage.forget(old)
         now = state(edges)
         if now == before:
             break

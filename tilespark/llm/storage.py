@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_FALLBACK = "/tmp/checkpoints"
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,11 +28,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df``, written once. A lost executor costs no recomputation of what came before."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
-def dropped(spark: SparkSession, path: str) -> None:
+def forget(df: DataFrame) -> None:
     """Deletes a staged table that no later plan reads."""
+    _written.remove(df.staged_path)
+    dropped(df.sparkSession, df.staged_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all staged tables of this process. For when no result that reads them is needed any more."""
+    while _written:
+        dropped(spark, _written.pop())
+
+
+def dropped(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
