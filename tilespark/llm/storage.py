@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_FALLBACK = "/tmp/checkpoints"
+#: Rows go to Python in batches of about this size, so a run of long texts can't fill a worker or the JVM's buffers.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[str] = []
 
 
@@ -20,12 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{LOCAL_FALLBACK}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit for a batch to ``BATCH_BYTES``, unless it is lower."""
+    now = spark.conf.get(BATCH_SETTING).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tilespark/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df``, written once. A lost executor costs no recomputation of what came before."""
+    bounded_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
@@ -53,4 +64,5 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
