@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.llm import storage, textkit
@@ -47,6 +47,8 @@ BATCH_BYTES = 2 << 20
 SAMPLE_DOCS = 2_000
 #: Up to this size the table of removed runs is broadcast; beyond, the texts are shuffled to it.
 BROADCAST_BYTES = 48 << 20
+#: Up to so many ids (8 bytes each) a list is broadcast.
+BROADCAST_IDS = 1_000_000
 NO_ID = (1 << 63) - 1
 
 _U = np.uint64
@@ -234,7 +236,7 @@ def suffix_blob(s: Suffixes) -> bytes:
 
 
 def suffixes_of(blob: bytes, rows: int) -> Suffixes:
-    right, left, *rest = unpressed(blob, rows, [LENGTH, SPARE, np.int8, np.int8, np.int64, np.int32, np.int64])
+    right, left, *rest = unpressed(blob, rows, [LENGTH, SPARE, np.int8, np.int8, np.int64, np.int64, np.int64])
     raw = np.hstack([right, left])
     return Suffixes(raw.view(">u8").astype(np.uint64), *rest)
 
@@ -379,7 +381,7 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = reach[np.append(starts[1:], len(every)) - 1] - group[starts] * span
     pairs = np.column_stack([every[starts, 2], ends]).astype(np.int64)
     doc_first = np.flatnonzero(new_doc[starts])
-    yield pa.RecordBatch.from_arrays([pa.array(every[starts[doc_first], 0]), pa.array(every[starts[doc_first], 1].astype(np.int32)), textkit.binary_column(pairs.ravel(), np.append(doc_first, len(starts)) * 2)], names=["id_", "nth_", "runs"])
+    yield pa.RecordBatch.from_arrays([pa.array(every[starts[doc_first], 0]), pa.array(every[starts[doc_first], 1]), textkit.binary_column(pairs.ravel(), np.append(doc_first, len(starts)) * 2)], names=["id_", "nth_", "runs"])
 
 
 def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,16 +404,14 @@ def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, id_, nth_, text: ``nth_`` tells apart different texts of one id, by a hash; it is 0 for all where ids are unique."""
+    """doc_id, id_, nth_, text: ``nth_`` tells apart different texts of one id, by a hash; it is 0 for all whose id is theirs alone."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id_"), "text")
-    shared = rows.groupBy("id_").agg(F.count("*").alias("n")).where("n > 1").select("id_")
-    if not shared.limit(1).count():
-        return rows.withColumn("nth_", F.lit(0))
-    shared = storage.staged(shared, "shared-ids")
-    hashed = rows.withColumn("hash_", F.xxhash64("text"))
-    texts = hashed.join(shared, "id_", "left_semi").select("id_", "hash_").distinct()
-    named = storage.staged(texts.withColumn("nth_", F.row_number().over(Window.partitionBy("id_").orderBy("hash_")).cast("int")), "shared-texts")
-    return hashed.join(named, ["id_", "hash_"], "left").select("doc_id", "id_", F.coalesce("nth_", F.lit(0)).alias("nth_"), "text")
+    shared = storage.staged(rows.groupBy("id_").agg(F.count("*").alias("n")).where("n > 1").select("id_", F.lit(True).alias("shared_")), "shared-ids")
+    count = shared.count()
+    if not count:
+        return rows.withColumn("nth_", F.lit(0).cast("long"))
+    marked = rows.join(F.broadcast(shared) if count <= BROADCAST_IDS else shared, "id_", "left")
+    return marked.select("doc_id", "id_", F.when(F.col("shared_"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("nth_"), "text")
 
 
 def sample_splitters(rows: DataFrame, count: int, buckets: int) -> np.ndarray:
@@ -440,7 +440,7 @@ def removed_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = len(splitters) + 1
     exchanged = rows.select("id_", "nth_", "text").mapInArrow(lambda b: gathered(b, splitters), "bucket int, n long, suffixes binary, m long, runs binary")
     runs = exchanged.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda b: decided(b, buckets), "bucket int, m long, runs binary")
-    out = runs.repartitionById(buckets, F.col("bucket")).mapInArrow(merged, "id_ long, nth_ int, runs binary")
+    out = runs.repartitionById(buckets, F.col("bucket")).mapInArrow(merged, "id_ long, nth_ long, runs binary")
     return rows, storage.staged(out, "removed-runs")
 
 
