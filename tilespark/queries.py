@@ -225,6 +225,36 @@ def bbox_validate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("aoi_id", targets.error_of_area().alias("error"))
 
 
+def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of a run, most of them right, by part key."""
+    k = F.col("p_partkey").cast("long")
+    odd = lambda n, wrong, good: F.when(k % 23 == n, wrong).otherwise(good)
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"), odd(1, 24, k % 24).cast("int").alias("max_zoom"), odd(2, 25, 0).cast("int").alias("min_zoom"), odd(3, 0, k % 100 + 1).cast("int").alias("quality"), odd(4, 65, k % 64 + 1).cast("int").alias("workers"),
+        odd(5, 0, k + 1).cast("long").alias("max_tiles"), odd(6, 255, 256 + k % 1000).cast("int").alias("chunk"), odd(7, 1.5, (k % 10 + 1) / 10.0).cast("double").alias("coverage"), odd(8, -0.1, 0.2).cast("double").alias("detail"), odd(9, "http://h/{z}/{x}", "http://h/{z}/{x}/{y}").alias("url"),
+    )
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 23 WHEN 1 THEN '-zoom must be 0-23' WHEN 2 THEN '-min-zoom must be between 0 and -zoom' WHEN 3 THEN '-q must be 1-100' WHEN 4 THEN '-j must be 1-64' WHEN 5 THEN '-max-tiles must be positive'
+ WHEN 6 THEN '-chunk must be at least 256' WHEN 7 THEN '-coverage must be in (0, 1]' WHEN 8 THEN '-detail must be >= 0' WHEN 9 THEN '-url must contain {z}, {x} and {y}' END AS error FROM part""")
+def settings_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that each row of settings breaks."""
+    rows = run_settings(spark, sf_dir)
+    c = F.col
+    error = (
+        F.when(~c("max_zoom").between(0, 23), "-zoom must be 0-23")
+        .when((c("min_zoom") < 0) | (c("min_zoom") > c("max_zoom")), "-min-zoom must be between 0 and -zoom")
+        .when(~c("quality").between(1, 100), "-q must be 1-100")
+        .when(~c("workers").between(1, 64), "-j must be 1-64")
+        .when(c("max_tiles") < 1, "-max-tiles must be positive")
+        .when(c("chunk") < m.TILE, f"-chunk must be at least {m.TILE}")
+        .when((c("coverage") <= 0) | (c("coverage") > 1), "-coverage must be in (0, 1]")
+        .when(c("detail") < 0, "-detail must be >= 0")
+        .when(~(F.contains("url", F.lit("{z}")) & F.contains("url", F.lit("{x}")) & F.contains("url", F.lit("{y}"))), "-url must contain {z}, {x} and {y}")
+    )
+    return rows.select("id", error.alias("error"))
+
+
 def geojson_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A FeatureCollection for each nation: a polygon, a line, or points alone."""
     k = F.col("n_nationkey").cast("long")
@@ -555,6 +585,14 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("aoi_id", "n").agg(F.coalesce(F.bool_or((F.col("px") >= F.col("from_x")) & (F.col("px") < F.col("to_x"))), F.lit(False)).alias("inside"))
 
 
+@query(f"""WITH {SQL_EDGES}, pts AS (SELECT aoi_id, unnest([lat0 + 0.001e0, lat0, lat0 + 0.008e0]) AS lat, unnest([lon0 + 0.011e0, lon0, lon0 + 0.003e0]) AS lon FROM base UNION ALL SELECT aoi_id, unnest([lat0 + 0.005e0, lat0 + 0.012e0]), unnest([lon0 + 0.005e0, lon0 + 0.012e0]) FROM base)
+SELECT aoi_id, round(min(lat), 9) AS min_lat, round(min(lon), 9) AS min_lon, round(max(lat), 9) AS max_lat, round(max(lon), 9) AS max_lon FROM pts GROUP BY aoi_id""")
+def polygon_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extent of each area's polygons, holes included."""
+    ends = {"min_lat": F.min("lat"), "min_lon": F.min("lon"), "max_lat": F.max("lat"), "max_lon": F.max("lon")}
+    return polygons(spark, sf_dir)[1].groupBy("aoi_id").agg(*[F.round(f, 9).alias(n) for n, f in ends.items()])
+
+
 # The synthetic world, pixels and tiles.
 
 SQL_LATTICE = "((({h}) ^ (({h}) >> 15)) & 65535) / 65535e0"
