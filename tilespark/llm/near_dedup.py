@@ -205,28 +205,33 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block, from the texts of its members: links that connect whatever its links connect."""
+    """For each block, from the texts of its members: for every two labels that its links connect, a path of links between labels."""
     unpack = zstandard.ZstdDecompressor()
     for rows in runs(batches, ("bucket", "lo", "hi")):
-        node = rows.column("node").to_numpy()
+        node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
         sets = []
         for raw in rows.column("pack"):
             data = np.frombuffer(unpack.decompress(raw.as_py()), np.uint8)
             sets.append(textkit.shingle_sets(data, np.array([0, len(data)]))[0])
         shared, size = shared_counts(sets), np.array([len(s) for s in sets], np.float32)
         linked = 100 * shared >= SHARE_OF_100 * (size[:, None] + size[None, :] - shared)
-        open_, tree = np.ones(len(node), bool), []
-        for start in range(len(node)):
-            if not open_[start]:
-                continue
-            open_[start] = False
-            waiting = [start]
-            while waiting:
-                i = waiting.pop()
-                new = np.flatnonzero(linked[i] & open_)
-                open_[new] = False
-                tree += [(node[i], node[j]) for j in new]
-                waiting += new.tolist()
+        names, own = np.unique(label, return_inverse=True)
+        one, other = np.nonzero(linked & (own[:, None] < own[None, :]))
+        _, first = np.unique(own[one] * len(names) + own[other], return_index=True)
+        root = list(range(len(names)))
+
+        def top(x: int, root: list[int] = root) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        tree = []
+        for i, j in zip(one[first].tolist(), other[first].tolist(), strict=True):
+            a, b = top(int(own[i])), top(int(own[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                tree.append((node[i], node[j]))
         if tree:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in tree], pa.int64()), pa.array([x for _, x in tree], pa.int64())], names=["u", "v"])
 
@@ -309,12 +314,12 @@ def links(docs: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = blocks.join(every.select("node", "n", "sign"), "node").repartition(*keys).sortWithinPartitions(*keys)
     found = storage.staged(signed.mapInArrow(crossing, "a long, b long, bucket long, lo long, hi long"), "near-found")
     pairs = storage.staged(found.where("bucket IS NULL").select("a", "b").distinct(), "near-pairs")
-    filled = storage.staged(blocks.join(found.where("bucket IS NOT NULL").select(*keys), keys, "left_semi").select(*keys, "node"), "near-filled")
+    filled = storage.staged(blocks.join(found.where("bucket IS NOT NULL").select(*keys), keys, "left_semi").select(*keys, "node", "label"), "near-filled")
     packs = packs_of(docs, every, ends(pairs).union(filled.select("node")))
     second = verified(pairs, packs)
     whole = filled.join(packs, "node").repartition(*keys).sortWithinPartitions(*keys)
     third = storage.staged(whole.mapInArrow(compared, "u long, v long"), "near-block-links")
-    second = second.union(third)
+    second = second.union(third.distinct())
     edges = storage.staged(first.union(second), "near-edges")
     return edges, storage.staged(components.labels(edges), "near-labels")
 
