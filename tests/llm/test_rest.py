@@ -84,7 +84,7 @@ def test_ftrl_weights_are_sparse():
         places = rng.choice(5000, 40, replace=False)
         if i % 2:
             places = np.append(places, 6000)
-        texts.append(np.append(places, toxicity.DIMENSIONS).astype(np.int32))
+        texts.append(places.astype(np.int32))
         label.append(i % 2)
     places, values = toxicity.ftrl(texts, np.array(label), np.ones(200))
     assert len(places) < 400 and dict(zip(places.tolist(), values.tolist(), strict=True))[6000] > 1

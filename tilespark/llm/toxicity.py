@@ -56,34 +56,35 @@ def feature_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ftrl(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the weights that aren't 0; the last place is the intercept's, which has no L1 term."""
-    z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
-    l1 = np.full(DIMENSIONS + 1, L1)
-    l1[-1] = 0
+    """Places and values of the weights that aren't 0; place ``DIMENSIONS`` is the intercept's, which has no L1 term."""
+    z, n = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+    z0 = n0 = 0.0
 
-    def at(places: np.ndarray) -> np.ndarray:
-        zi = z[places]
-        return -np.sign(zi) * np.maximum(np.abs(zi) - l1[places], 0) / ((BETA + np.sqrt(n[places])) / ALPHA + L2)
+    def weights(zi: np.ndarray, ni: np.ndarray, l1: float) -> np.ndarray:
+        return -np.sign(zi) * np.maximum(np.abs(zi) - l1, 0) / ((BETA + np.sqrt(ni)) / ALPHA + L2)
 
     for _ in range(epochs):
         for places, y, c in zip(texts, label, weight, strict=True):
-            w = at(places)
-            g = c * (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y)
-            grown = np.sqrt(n[places] + g * g)
-            z[places] += g - (grown - np.sqrt(n[places])) / ALPHA * w
-            n[places] += g * g
-    every = at(np.arange(DIMENSIONS + 1))
-    used = np.flatnonzero(every)
-    return used, every[used]
+            zi, ni = z[places], n[places]
+            w, w0 = weights(zi, ni, L1), float(weights(z0, n0, 0.0))
+            g = c * (1 / (1 + np.exp(-np.clip(w.sum() + w0, -35, 35))) - y)
+            z[places] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
+            n[places] = ni + g * g
+            z0 += g - (np.sqrt(n0 + g * g) - np.sqrt(n0)) / ALPHA * w0
+            n0 += g * g
+    used = np.flatnonzero(np.abs(z) > L1)
+    return np.append(used, DIMENSIONS), np.append(weights(z[used], n[used], L1), weights(z0, n0, 0.0))
 
 
 def learned(table: pa.Table) -> pa.Table:
-    """One group, bounded by the sample: its rows in a fixed order, to the list of weights."""
-    ids, label = table.column("doc_id").to_numpy(), table.column("label").to_numpy()
-    weight, raw = table.column("weight").to_numpy(), table.column("places").combine_chunks()
+    """One group, bounded by the sample: its rows in a fixed order, to the list of weights. Features are read where they lie."""
+    ids, label, weight = (table.column(c).to_numpy() for c in ("doc_id", "label", "weight"))
     order = np.argsort(textkit.mix(ids.astype(np.uint64)), kind="stable")
-    texts = [np.append(np.frombuffer(raw[int(i)].as_py(), np.int32), np.int32(DIMENSIONS)) for i in order]
-    places, values = ftrl(texts, label[order], weight[order])
+    texts: list[np.ndarray] = []
+    for chunk in table.column("places").chunks:
+        data, offs = textkit.buffers(chunk)
+        texts += [data[a:b].view(np.int32) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    places, values = ftrl([texts[i] for i in order], label[order], weight[order])
     return pa.table({"place": pa.array(places, pa.int32()), "value": pa.array(values, pa.float64())})
 
 
