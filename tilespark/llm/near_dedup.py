@@ -47,7 +47,7 @@ BLOCK = 1024
 #: A block emits up to so many pairs a member.
 PAIRS_A_MEMBER = 4
 COLUMNS = 4096
-TEXTS_A_GROUP = 256
+TEXTS_A_GROUP = 64
 #: Up to so many ids (8 bytes each) a list is broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
