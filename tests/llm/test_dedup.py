@@ -237,3 +237,39 @@ def test_shared_counts_match_sets():
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(30)]
     got = near_dedup.shared_counts(sets)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30) if i != j)
+
+
+def passage_rows(b, a):
+    """What ``passages.aligned`` finds, in tokens, of two texts given as words."""
+    cut = [passages.tokens(np.frombuffer(" ".join(t).encode(), np.uint8), np.array([0, len(" ".join(t))]))[0] for t in (b, a)]
+    return passages.aligned(cut[0], cut[1], np.argsort(cut[1], kind="stable"))
+
+
+@pytest.mark.parametrize("order", ["before", "after", "both"])
+def test_passage_with_a_line_repeated_in_the_other_text(order):
+    line, one, two = words(1, 20), words(2, 30), words(3, 30)
+    passage = [*one, *line, *two]
+    earlier = [*(line if order != "after" else []), *words(4, 40), *passage, *words(5, 40), *(line if order != "before" else [])]
+    rows = passage_rows([*words(6, 25), *passage, *words(7, 25)], earlier)
+    start = earlier.index(one[0])
+    assert rows == [(25, 101, start, start + 76, 1.0)]
+
+
+def test_passage_that_begins_with_a_repeated_line():
+    line, rest = words(11, 20), words(12, 34)
+    rows = passage_rows([*words(13, 30), *line, *rest], [*line, *words(14, 30), *line, *rest])
+    assert rows == [(30, 80, 50, 100, 1.0)]
+
+
+def test_runs_match_all_places():
+    rng = np.random.default_rng(12)
+    b, a = rng.integers(0, 6, 70).astype(np.uint64), rng.integers(0, 7, 50).astype(np.uint64)
+    expected = set()
+    for x in range(70):
+        for y in range(50):
+            if b[x] == a[y] and (not x or not y or b[x - 1] != a[y - 1]):
+                n = 1
+                while x + n < 70 and y + n < 50 and b[x + n] == a[y + n]:
+                    n += 1
+                expected.add((x, y, n))
+    assert set(zip(*(v.tolist() for v in passages.runs(b, a, np.argsort(a, kind="stable"))), strict=True)) == expected
