@@ -273,3 +273,36 @@ def test_runs_match_all_places():
                     n += 1
                 expected.add((x, y, n))
     assert set(zip(*(v.tolist() for v in passages.runs(b, a, np.argsort(a, kind="stable"))), strict=True)) == expected
+
+
+@pytest.mark.parametrize(("cut", "put"), [(9, 9), (0, 10), (19, 0), (9, 0)])
+def test_passage_with_a_gap_in_it(cut, put):
+    """45 equal words, some replaced, inserted or left out, 45 equal words: one passage of similarity 0.75 or more."""
+    left, right = words(21, 45), words(22, 45)
+    earlier = [*words(23, 40), *left, *words(24, cut), *right, *words(25, 40)]
+    rows = passage_rows([*words(26, 30), *left, *words(27, put), *right, *words(28, 30)], earlier)
+    shared = 82
+    union = 82 + (cut + 4) + (put + 4) if cut + put else 86
+    assert [r[:4] for r in rows] == [(30, 30 + 86 + put, 40, 40 + 86 + cut)] and rows[0][4] == pytest.approx(shared / union)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_passages_cover_all_similar_stretches(seed):
+    """Against all pairs of a first and a last equal stretch."""
+    rng = np.random.default_rng(seed)
+    b, a, at_b, at_a = [], [], 0, 0
+    places = []
+    for g in range(14):
+        n, x, y = (int(v) for v in (rng.integers(1, 60), rng.integers(0, 25) * (g > 0), rng.integers(0, 25)))
+        same = np.arange(n) + 10_000 * g
+        b, a = [*b, *(same[0] + 1_000 + np.arange(x)), *same], [*a, *(same[0] + 5_000 + np.arange(y)), *same]
+        places.append((len(b) - n, len(b), len(a) - n, len(a)))
+    b, a = np.array(b, np.uint64), np.array(a, np.uint64)
+    rows = passages.aligned(b, a, np.argsort(a, kind="stable"))
+    assert all(r[4] >= 0.75 and r[4] == passages.similarity(b[r[0] : r[1]], a[r[2] : r[3]]) for r in rows)
+    covered = {x for r in rows for x in range(r[0], r[1])}
+    for x in range(14):
+        for y in range(x, 14):
+            i, j, p, q = places[x][0], places[y][1], places[x][2], places[y][3]
+            if j - i >= passages.TOKENS and 100 * passages.similarity(b[i:j], a[p:q]) >= 75:
+                assert set(range(i, j)) <= covered
