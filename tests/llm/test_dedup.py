@@ -306,3 +306,25 @@ def test_passages_cover_all_similar_stretches(seed):
             i, j, p, q = places[x][0], places[y][1], places[x][2], places[y][3]
             if j - i >= passages.TOKENS and 100 * passages.similarity(b[i:j], a[p:q]) >= 75:
                 assert set(range(i, j)) <= covered
+
+
+@pytest.mark.parametrize("edits", [0, 1])
+def test_passages_around_a_common_line(frame, edits):
+    """A line of 40 words in 160 texts; pairs of them share 60 words or so around it, which is compared with all pairs."""
+    rng = np.random.default_rng(edits)
+    line, texts = words(99, 40), {}
+    for g in range(40):
+        left, right = words(1000 + g, 12), words(2000 + g, 12)
+        for half in (0, 1):
+            passage = [*left, *line, *right]
+            for e in range(half * edits):
+                passage[int(rng.choice([*range(12), *range(52, 64)]))] = f"new{g}x{e}"
+            texts[g + 1000 * half] = [*words(3000 + g + 100 * half, 30), *passage, *words(4000 + g + 100 * half, 30)]
+    texts |= {200 + g: [*words(5000 + g, 40), *line, *words(6000 + g, 40)] for g in range(80)}
+    sets = {i: textkit.shingle_sets(np.frombuffer(" ".join(t[30:94]).encode(), np.uint8), np.array([0, len(" ".join(t[30:94]))]))[0] for i, t in texts.items() if i < 200 or i >= 1000}
+    ids = sorted(sets)
+    near = {(a, b) for a in ids for b in ids if a < b and b >= 1000 and a + 1000 == b and passages.similarity(sets[a], sets[b]) >= 0.75}
+    out = passages.found(frame([(i, " ".join(t)) for i, t in texts.items()])).collect()
+    assert len(near) >= 30 and {(r["other_id"], r["doc_id"]) for r in out} >= near
+    if not edits:
+        assert {r["doc_id"] for r in out if r["start_word"] <= 30 and r["end_word"] >= 94} == {b for _, b in near}
