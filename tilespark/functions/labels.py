@@ -39,10 +39,12 @@ def world_file_extension(kind: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    def in_unit(power: int, form: str, unit: str) -> Column:
-        return F.concat(F.format_string(form, n / float(1 << power)), F.lit(f" {unit}"))
+    """A size in B, KB, MB or GB; ties go to the even digit, which format_string alone doesn't do."""
 
-    return F.when(n >= 1 << 30, in_unit(30, "%.2f", "GB")).when(n >= 1 << 20, in_unit(20, "%.1f", "MB")).when(n >= 1 << 10, in_unit(10, "%.0f", "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    def in_unit(power: int, places: int, unit: str) -> Column:
+        return F.concat(F.format_string(f"%.{places}f", F.bround(n / float(1 << power), places)), F.lit(f" {unit}"))
+
+    return F.when(n >= 1 << 30, in_unit(30, 2, "GB")).when(n >= 1 << 20, in_unit(20, 1, "MB")).when(n >= 1 << 10, in_unit(10, 0, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def width_of(last: Column) -> Column:

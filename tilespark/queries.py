@@ -365,13 +365,23 @@ def tile_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", url.alias("url")).select("id", "url", labels.redacted(F.col("url")).alias("shown"))
 
 
+def byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, nth = F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int")
+    factor = F.when(nth % 3 == 0, 1).when(nth % 3 == 1, 997).otherwise(1000003)
+    return table(spark, sf_dir, "lineitem").select(k.alias("k"), nth.alias("nth"), (k * k * factor + nth).cast("long").alias("n"))
+
+
 @query("""WITH l AS (SELECT CAST(l_orderkey AS BIGINT) AS k, CAST(l_linenumber AS INTEGER) AS nth, CAST(l_orderkey * l_orderkey * (CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN 997 ELSE 1000003 END) + l_linenumber AS BIGINT) AS n FROM lineitem)
 SELECT k, nth, CASE WHEN n >= 1073741824 THEN format('{:.2f} GB', n / 1073741824e0) WHEN n >= 1048576 THEN format('{:.1f} MB', n / 1048576e0) WHEN n >= 1024 THEN CAST(CAST(round(n / 1024e0) AS BIGINT) AS VARCHAR) || ' KB' ELSE n || ' B' END AS size FROM l WHERE n % 512 <> 0""")
 def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, nth = F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int")
-    factor = F.when(nth % 3 == 0, 1).when(nth % 3 == 1, 997).otherwise(1000003)
-    rows = table(spark, sf_dir, "lineitem").select(k.alias("k"), nth.alias("nth"), (k * k * factor + nth).cast("long").alias("n")).where("n % 512 <> 0")
-    return rows.select("k", "nth", labels.human_bytes(F.col("n")).alias("size"))
+    """Without ties, which the oracle leaves out; ``human_bytes_all`` has them."""
+    return byte_counts(spark, sf_dir).where("n % 512 <> 0").select("k", "nth", labels.human_bytes(F.col("n")).alias("size"))
+
+
+@query()
+def human_bytes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row, ties too; held against plain Python in the tests."""
+    return byte_counts(spark, sf_dir).select("k", "nth", "n", labels.human_bytes(F.col("n")).alias("size"))
 
 
 @query("""WITH l AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CASE n_nationkey % 6 WHEN 0 THEN 'a.webp' WHEN 1 THEN 'd.x/b.JPG' WHEN 2 THEN 'c.jpeg' WHEN 3 THEN 'e.png' WHEN 4 THEN 'd.x/noext' ELSE 'f.tif' END AS path FROM nation)
@@ -661,11 +671,21 @@ def placeholder_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.filler_by_key(pixel_blocks(spark, sf_dir), ["aoi_id"])
 
 
+def energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("k"), F.col("l_linenumber").cast("int").alias("nth"), (F.col("l_quantity") / 10).alias("top"), (F.col("l_discount") * 100).alias("next"), (F.col("l_tax") * 300).alias("variance"))
+
+
 @query("""WITH t AS (SELECT CAST(l_orderkey AS BIGINT) AS k, CAST(l_linenumber AS INTEGER) AS nth, l_quantity / 10 AS top, l_discount * 100 AS next, l_tax * 300 AS variance FROM lineitem)
 SELECT k, nth, CASE WHEN variance < 4 THEN 'inconclusive' WHEN next < 2 AND variance >= 16 THEN 'upsampled' WHEN next < 2 THEN 'inconclusive' WHEN top < 0.2e0 * next THEN 'upsampled' ELSE 'native' END AS verdict FROM t WHERE abs(top - 0.2e0 * next) > 1e-9""")
 def sharpness_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("k"), F.col("l_linenumber").cast("int").alias("nth"), (F.col("l_quantity") / 10).alias("top"), (F.col("l_discount") * 100).alias("next"), (F.col("l_tax") * 300).alias("variance"))
-    return rows.where(F.abs(F.col("top") - 0.2 * F.col("next")) > 1e-9).select("k", "nth", quality.verdict(F.col("top"), F.col("next"), F.col("variance")).alias("verdict"))
+    """Without ties, which the oracle leaves out; ``sharpness_verdict_all`` has them."""
+    return energies(spark, sf_dir).where(F.abs(F.col("top") - 0.2 * F.col("next")) > 1e-9).select("k", "nth", quality.verdict(F.col("top"), F.col("next"), F.col("variance")).alias("verdict"))
+
+
+@query()
+def sharpness_verdict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row, ties too; held against plain Python in the tests."""
+    return energies(spark, sf_dir).select("k", "nth", "top", "next", "variance", quality.verdict(F.col("top"), F.col("next"), F.col("variance")).alias("verdict"))
 
 
 @query(f"WITH {SQL_BLOCKS} SELECT aoi_id, x // 2 AS x, y // 2 AS y, sum(g) / 4e0 AS g FROM blocks WHERE x < 62 GROUP BY aoi_id, x // 2, y // 2")
