@@ -285,3 +285,11 @@ def test_long_words_and_texts_hash_alike():
     s, e, _ = textkit.words(data, np.array([0, len(data)]))
     h = textkit.word_hashes(data, s, e)
     assert h[0] == h[2] == h[4] and h[1] == h[3] != h[0] and len(h) == len(WORD.findall(text.encode()))
+
+
+def test_clean_takes_items_without_id(spark, frame):
+    item, other = " ".join(words(801, 30)), " ".join(words(802, 30))
+    docs = frame([(1, f"before {item} after"), (2, f"before {other} after"), (3, " ".join(words(803, 40)))])
+    items = spark.createDataFrame([(None, item), (7, other)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontamination.clean(docs, items).collect()] == [3]
+    assert [(r["doc_id"], r["item_id"]) for r in decontamination.contained(docs, items).collect()] == [(2, 7)]

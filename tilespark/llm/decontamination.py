@@ -13,7 +13,8 @@ the benchmark.
 
 Edge cases: null and empty items or documents match nothing; an item of fewer than
 five words is one shingle and matches only a document of just these words;
-repeated items count once, repeated documents each; an empty table gives an empty
+repeated items count once, repeated documents each; an item without id has no row in
+``contained`` but ``clean`` takes out what holds it; an empty table gives an empty
 result; other columns are kept by ``clean`` and ignored by ``contained``.
 """
 
@@ -68,12 +69,12 @@ def item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(first, to - first), textkit.binary_column(values, at), pa.array(np.diff(at))], names=["item_id", "shingles", "n"])
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The items, in blocks of about ``BLOCK_SHINGLES`` shingles; one block is on the driver at a time."""
-    sets = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct().mapInArrow(item_sets, "item_id long, shingles binary, n long").where("n > 0")
+def blocks(benchmark: DataFrame, nameless: bool = False) -> Iterator[Block]:
+    """The items, in blocks of about ``BLOCK_SHINGLES`` shingles; one block is on the driver at a time. Items without id count if ``nameless``, as -1."""
+    sets = (benchmark if nameless else benchmark.where("item_id IS NOT NULL")).select(F.col("item_id").cast("long"), "text").distinct().mapInArrow(item_sets, "item_id long, shingles binary, n long").where("n > 0")
     held, size = [], 0
     for row in storage.staged(sets, "items").toLocalIterator():
-        held.append((row["item_id"], bytes(row["shingles"])))
+        held.append((-1 if row["item_id"] is None else row["item_id"], bytes(row["shingles"])))
         size += row["n"]
         if size >= BLOCK_SHINGLES:
             yield block_of(held)
@@ -126,7 +127,7 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that contain an item."""
     spark, kept = docs.sparkSession, docs
-    for block in blocks(benchmark):
+    for block in blocks(benchmark, nameless=True):
         sent = spark.sparkContext.broadcast(block)
 
         def free(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
