@@ -210,7 +210,8 @@ def test_empty_tables(empty):
 def test_crowded_group_against_all_pairs(frame, monkeypatch):
     """Hundreds of variants of one text, most pairs not similar enough: blocks are compared as a whole."""
     monkeypatch.setattr(near_dedup, "BLOCK", 64)
-    monkeypatch.setattr(near_dedup, "PAIRS_A_MEMBER", 1)
+    monkeypatch.setattr(near_dedup, "PAIRS_A_NODE", 0.5)
+    monkeypatch.setattr(near_dedup, "SEEKERS", 5)
     rng = np.random.default_rng(9)
     base, pairs = words(500, 120), []
     for i in range(260):

@@ -1,7 +1,9 @@
 """Connected components of a distributed edge list, by alternating large and small stars.
 
 The edges stay a table throughout; each round is a few aggregations and joins, and
-its result is written to the shared folder, so a lost executor costs one round.
+its result is written to the shared folder, so a lost executor costs one round. The
+least neighbours are written before they are joined: a join that shares an exchange
+with its own aggregation could not be split where one node holds most edges.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ def labels(edges: DataFrame) -> DataFrame:
         if not before[0]:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = storage.staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = storage.staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        lower = storage.staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = large.join(lower, "u")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
         last, edges = edges, storage.staged(small.where("u <> v").distinct(), "stars")
-        for old in (last, large):
+        for old in (last, large, least, lower):
             storage.forget(old)
         now = state(edges)
         if now == before:

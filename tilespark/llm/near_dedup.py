@@ -10,20 +10,31 @@ left open. All pairs within that distance meet in some bucket. At a similarity o
 about 2 in 100 000.
 
 Pairs are never expanded within a bucket. Round one links each node to one bucket
-head and confirms that on the full sets. Round two looks only at buckets that
-still hold several components, in blocks, for pairs of different components within
-the distance; those are confirmed too. A block with few such pairs emits them; one
-with many is filled with the texts of its members instead, each once, compared as a
-whole, and emits a spanning forest of the links found. So no link between
-components is lost, copies of one text cost one link each, and no stage makes more
-rows than a small multiple of its members.
+head and confirms that on the full sets. In round two, buckets that still hold
+several components try their hub, the member that meets most others in such buckets:
+variants of one text are alike to the text, but not to each other. Round three looks
+only at buckets that are mixed even then: there the members outside the bucket's
+largest component seek partners among all members, tile by tile. A tile is a block of
+seekers and a block of members, either of at most about ``BLOCK`` nodes and
+``BLOCK_SHINGLES`` shingles. A bucket of s members, r of them seekers, so makes
+s * ceil(r / BLOCK) + r * ceil(s / BLOCK) rows of signatures: s + r as long as either
+fits a block, whatever the size of the group that is linked already; only buckets with
+many blocks of members that nothing links pay for comparing them. A tile
+pairs up what it is the first to hold of all tiles that a pair shares. One
+with few pairs of different components within the distance emits them; one with many
+gets the texts of just the nodes that have such pairs, compares them as a whole, and
+emits a spanning forest of the links found. So no link between components is lost,
+and copies of one text cost one link each.
 
 Edge cases: null and empty texts have an empty set, link with nothing, and stay;
 fewer than five words are one shingle; a null id counts as missing (its text
 stands in as the key; it can be a member but not the name of a component, unless
-no member has an id); repeated rows are members of one component, and ``deduped``
-leaves one of them; an empty table gives an empty result; other columns are kept
-by ``deduped`` and ignored by ``membership``.
+no member has an id); repeated rows are members of one component; different texts
+that share an id are rows of their own, each in its own text's component. ``deduped``
+leaves one row of each component, that with the smallest id (of texts that share it,
+the one with the smallest hash; of rows that repeat both, one), and all rows without
+words. An empty table gives an empty result; other columns are kept by ``deduped``
+and ignored by ``membership``.
 """
 
 from __future__ import annotations
@@ -43,10 +54,14 @@ SYMBOLS, WIDTH = 64, 4
 CHUNKS = SYMBOLS // WIDTH
 DISTANCE = 2 * CHUNKS - 1
 SHARE_OF_100 = 75
-BLOCK = 1024
-#: A block emits up to so many pairs a member.
-PAIRS_A_MEMBER = 4
+#: Nodes of a block, and shingles, so long texts make smaller blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: A tile emits up to so many pairs for each of its nodes that has any.
+PAIRS_A_NODE = 1
 COLUMNS = 4096
+#: Seekers that are compared with a tile's members at once.
+SEEKERS = 16
+MAIN, REST, SEEKER = 0, 1, 2
 TEXTS_A_GROUP = 64
 #: Up to so many ids (8 bytes each) a list is broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
@@ -82,14 +97,14 @@ def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(first, to - first)
             symbols = signatures(values, at)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("row_"), part.column("key_"), pa.array(np.diff(at)), pa.array(prints(values, at), pa.binary()), textkit.binary_column(symbols.ravel(), np.arange(to - first + 1) * SYMBOLS)],
-                names=["doc_id", "row_", "key_", "n", "print", "sign"],
+                [part.column("doc_id"), part.column("row_"), part.column("key_"), part.column("sum_"), pa.array(np.diff(at)), pa.array(prints(values, at), pa.binary()), textkit.binary_column(symbols.ravel(), np.arange(to - first + 1) * SYMBOLS)],
+                names=["doc_id", "row_", "key_", "sum_", "n", "print", "sign"],
             )
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row_"), key_of().alias("key_"), "text")
-    return storage.staged(rows.mapInArrow(digested, "doc_id long, row_ long, key_ long, n long, print binary, sign binary"), "shingle-digests")
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row_"), key_of().alias("key_"), F.xxhash64("text").alias("sum_"), "text")
+    return storage.staged(rows.mapInArrow(digested, "doc_id long, row_ long, key_ long, sum_ long, n long, print binary, sign binary"), "shingle-digests")
 
 
 def nodes(digest: DataFrame) -> DataFrame:
@@ -116,30 +131,6 @@ def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(node, CHUNKS))], names=["bucket", "node"])
 
 
-def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (bucket, node): bucket, head, node for buckets of several nodes, the head's own row included."""
-    last_bucket, last_head, alone = None, None, False
-    for batch in batches:
-        bucket, node = batch.column("bucket").to_numpy(), batch.column("node").to_numpy()
-        if not len(bucket):
-            continue
-        new = np.ones(len(bucket), bool)
-        new[1:] = bucket[1:] != bucket[:-1]
-        goes_on = last_bucket is not None and bucket[0] == last_bucket
-        new[0] = not goes_on
-        start = np.maximum.accumulate(np.where(new, np.arange(len(bucket)), -1))
-        head = np.where(start >= 0, node[np.maximum(start, 0)], last_head if goes_on else 0)
-        member = ~new
-        second = member.copy()
-        second[1:] &= new[:-1]
-        second[0] = goes_on and alone
-        places = np.concatenate([np.flatnonzero(second), np.flatnonzero(member)])
-        own = np.concatenate([head[second], node[member]])
-        if len(places):
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[places]), pa.array(head[places]), pa.array(own)], names=["bucket", "head", "node"])
-        last_bucket, last_head, alone = bucket[-1], head[-1], bool(new[-1])
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """From rows in order of ``keys``: the rows of each key together."""
     held: list[pa.RecordBatch] = []
@@ -159,32 +150,47 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[p
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+TILE = ("bucket", "lo", "hi")
+FOUND = pa.schema([(c, pa.int64()) for c in ("a", "b", *TILE)])
+
+
+def first_meeting(agree: np.ndarray) -> np.ndarray:
+    """The number, chunk and open place, of the first bucket that each pair shares, from one bit for each symbol that says whether it agrees."""
+    by_chunk = np.unpackbits(agree[:, None].view(np.uint8), axis=1, bitorder="little").reshape(-1, CHUNKS, WIDTH)
+    chunk = (by_chunk.sum(axis=2) >= WIDTH - 1).argmax(axis=1)
+    return chunk * WIDTH + by_chunk[np.arange(len(chunk)), chunk].argmin(axis=1)
 
 
 def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block its pairs (a, b) of different labels, fitting sizes and near signatures; or, if they are many, the block's own key."""
-    for rows in runs(batches, ("bucket", "lo", "hi")):
-        node, label, n, block = (rows.column(c).to_numpy() for c in ("node", "label", "n", "block"))
+    """For each tile its pairs (a, b) of different labels, fitting sizes and near signatures; or, if they are many, the nodes that have such, as (node, label, tile)."""
+    for rows in runs(batches, TILE):
+        node, label, n, side = (rows.column(c).to_numpy() for c in ("node", "label", "n", "side"))
         signs = matrix(rows.column("sign"))
-        mark = [rows.column(c)[0].as_py() for c in ("bucket", "lo", "hi")]
-        low, right = block == mark[1], np.flatnonzero(block == mark[2])
-        found, count, most = [], 0, max(64, PAIRS_A_MEMBER * len(node))
-        for i in np.flatnonzero(low):
-            j = right[(label[right] != label[i]) & ((node[right] > node[i]) | ~low[right])]
-            j = j[100 * np.minimum(n[i], n[j]) >= SHARE_OF_100 * np.maximum(n[i], n[j])]
-            j = j[(signs[j] != signs[i]).sum(axis=1) <= DISTANCE]
-            count += len(j)
-            if count > most:
-                break
-            if len(j):
-                found.append(np.column_stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-        if count > most:
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (None, None, *mark)], schema=FOUND)
+        mark = [rows.column(c)[0].as_py() for c in TILE]
+        others, has = np.flatnonzero(side != SEEKER), np.zeros(len(node), bool)
+        theirs, found, count = signs[others], [], 0
+        seekers = np.flatnonzero(side == SEEKER)
+        for at in range(0, len(seekers), SEEKERS):
+            own = seekers[at : at + SEEKERS]
+            agree = np.packbits(theirs == signs[own][:, None, :], axis=2, bitorder="little").view(np.uint64)[..., 0]
+            # Two seekers meet in two tiles, and pair in one of them.
+            fits = (np.bitwise_count(agree) >= SYMBOLS - DISTANCE) & (label[others] != label[own, None]) & ((side[others] == MAIN) | (node[others] > node[own, None]))
+            i, j = np.nonzero(fits)
+            i, j, agree = own[i], others[j], agree[i, j]
+            near = (100 * np.minimum(n[i], n[j]) >= SHARE_OF_100 * np.maximum(n[i], n[j])) & (first_meeting(agree) == mark[0] >> 48)
+            i, j = i[near], j[near]
+            count += len(i)
+            has[i] = has[j] = True
+            if len(i) and count <= PAIRS_A_NODE * len(node):
+                found.append(np.column_stack([node[i], node[j]]))
+        if count > PAIRS_A_NODE * has.sum():
+            _, some = np.unique(np.where(has, node, -1), return_index=True)
+            some = some[has[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(label[some]), *(pa.array(np.full(len(some), v)) for v in mark)], schema=FOUND)
         elif found:
             both = np.concatenate(found)
             none = pa.nulls(len(both), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), none, none, none], schema=FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1)), none, none, none], schema=FOUND)
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -205,9 +211,9 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block, from the texts of its members: for every two labels that its links connect, a path of links between labels."""
+    """For each tile, from the texts of its nodes: for every two labels that its links connect, a path of links between labels."""
     unpack = zstandard.ZstdDecompressor()
-    for rows in runs(batches, ("bucket", "lo", "hi")):
+    for rows in runs(batches, TILE):
         node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
         sets = []
         for raw in rows.column("pack"):
@@ -268,7 +274,7 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["u", "v"])
 
 
-def held_by(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+def held_by(rows: DataFrame, ids: DataFrame, column: str | list[str], how: str) -> DataFrame:
     """``rows`` joined with a list of ids, which is broadcast if it is short."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
 
@@ -294,66 +300,106 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
 
-def links(docs: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, labels): confirmed links that connect every component, and node, label for nodes with links."""
-    rows = every.select("node", "sign").mapInArrow(lookups, "bucket long, node long").repartition("bucket").sortWithinPartitions("bucket", "node")
-    buckets = storage.staged(rows.mapInArrow(headed, "bucket long, head long, node long"), "near-buckets")
-    stars = buckets.where("head <> node").groupBy("head", "node").agg(F.count("*").alias("times"))
-    tried = stars.groupBy("node").agg(F.max(F.struct("times", F.negative("head").alias("h"))).alias("best")).select(F.negative(F.col("best.h")).alias("a"), F.col("node").alias("b"))
-    tried = storage.staged(tried, "near-tried")
+def tiles(members: DataFrame) -> DataFrame:
+    """bucket, lo, hi, side, node, label: the tiles of buckets of several labels, from (bucket, node, label, n)."""
+    by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    top = F.max(F.struct("size", F.negative("label").alias("label"), "n"))
+    by = by_label.groupBy("bucket").agg(top.alias("top"), F.sum("size").alias("size"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+
+    def blocks(size: Column, n: Column) -> Column:
+        return F.least(size, F.ceil(F.greatest(size / BLOCK, n / BLOCK_SHINGLES)))
+
+    by = by.select("bucket", F.negative("top.label").alias("main"), blocks(F.col("size") - F.col("top.size"), F.col("n") - F.col("top.n")).alias("rows"), blocks(F.col("size"), F.col("n")).alias("columns"))
+    held = members.join(storage.staged(by, "near-blocks"), "bucket")
+    every = held.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).select("bucket", "lo", F.pmod(F.xxhash64("node"), F.col("columns")).alias("hi"), F.when(F.col("label") == F.col("main"), MAIN).otherwise(REST).alias("side"), "node", "label")
+    seekers = held.where("label <> main").withColumn("hi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))).select("bucket", F.pmod(F.xxhash64("node"), F.col("rows")).alias("lo"), "hi", F.lit(SEEKER).alias("side"), "node", "label")
+    return every.unionByName(seekers)
+
+
+def best_heads(stars: DataFrame, name: str) -> DataFrame:
+    """(a, b): for each node b the head a that it shares most buckets with, from (head, node)."""
+    times = stars.groupBy("head", "node").agg(F.count("*").alias("times"))
+    best = times.groupBy("node").agg(F.max(F.struct("times", F.negative("head").alias("h"))).alias("best"))
+    return storage.staged(best.select(F.negative("best.h").alias("a"), F.col("node").alias("b")), name)
+
+
+def mixed(buckets: DataFrame, every: DataFrame, links_: DataFrame) -> DataFrame:
+    """(bucket, node, label, n, size): members of the buckets of several components."""
+    label = components.labels(links_)
+    labelled = storage.staged(every.select("node", "n").join(label, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label")), "near-labelled")
+    members = storage.staged(buckets.join(labelled, "node").select("bucket", "node", "label", "n"), "near-members")
+    held = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
+    # Staged, so that the join doesn't share an exchange with the counts, and Spark can split a hot bucket.
+    return storage.staged(members.join(storage.staged(held, "near-mixed"), "bucket"), "near-mixed-members")
+
+
+def hubs(members: DataFrame) -> DataFrame:
+    """(head, node): the members of mixed buckets and their bucket's hub, where that is of another component."""
+    degree = storage.staged(members.groupBy("node").agg(F.sum("size").alias("degree")), "near-degrees")
+    hub = members.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", F.negative("node").alias("node"), "label")).alias("hub"))
+    hub = storage.staged(hub.select("bucket", F.negative("hub.node").alias("head"), F.col("hub.label").alias("of")), "near-hubs")
+    return members.join(hub, "bucket").where("label <> of").select("head", "node")
+
+
+def links(docs: DataFrame, every: DataFrame) -> DataFrame:
+    """node, label for nodes with links, from confirmed links that connect every component."""
+    rows = every.select("node", "sign").mapInArrow(lookups, "bucket long, node long")
+    heads = storage.staged(rows.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size"), "near-heads")
+    buckets = storage.staged(rows.join(heads, "bucket"), "near-buckets")
+    tried = best_heads(buckets.where("head <> node").select("head", "node"), "near-tried")
     first = verified(tried, packs_of(docs, every, ends(tried)))
-    label = storage.staged(components.labels(first), "near-labels")
-
-    members = buckets.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    members = storage.staged(members, "near-members")
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    blocks = members.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label")
-    blocks = storage.staged(blocks, "near-blocks")
-    keys = ["bucket", "lo", "hi"]
-    signed = blocks.join(every.select("node", "n", "sign"), "node").repartition(*keys).sortWithinPartitions(*keys)
+
+    again = best_heads(hubs(mixed(buckets, every, first)), "near-tried")
+    first = storage.staged(first.union(verified(again, packs_of(docs, every, ends(again)))), "near-star-links")
+
+    blocks = storage.staged(tiles(mixed(buckets, every, first)), "near-tiles")
+    signed = blocks.join(every.select("node", "n", "sign"), "node").repartition(*TILE).sortWithinPartitions(*TILE)
     found = storage.staged(signed.mapInArrow(crossing, "a long, b long, bucket long, lo long, hi long"), "near-found")
     pairs = storage.staged(found.where("bucket IS NULL").select("a", "b").distinct(), "near-pairs")
-    filled = storage.staged(blocks.join(found.where("bucket IS NOT NULL").select(*keys), keys, "left_semi").select(*keys, "node", "label"), "near-filled")
+    filled = found.where("bucket IS NOT NULL").select(*TILE, F.col("a").alias("node"), F.col("b").alias("label"))
     packs = packs_of(docs, every, ends(pairs).union(filled.select("node")))
     second = verified(pairs, packs)
-    whole = filled.join(packs, "node").repartition(*keys).sortWithinPartitions(*keys)
-    third = storage.staged(whole.mapInArrow(compared, "u long, v long"), "near-block-links")
-    second = second.union(third.distinct())
-    edges = storage.staged(first.union(second), "near-edges")
-    return edges, storage.staged(components.labels(edges), "near-labels")
+    whole = filled.join(packs, "node").repartition(*TILE).sortWithinPartitions(*TILE)
+    third = storage.staged(whole.mapInArrow(compared, "u long, v long"), "near-tile-links")
+    return storage.staged(components.labels(first.union(second).union(third)), "near-labels")
 
 
-def membership(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, links, row_, key_: one row for each row of ``docs``.
-
-    ``links`` counts the confirmed links of the row's set; they are enough to connect its component.
-    """
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, row_, key_, sum_, n_shingles, label, component_id, first_row: one row for each row of ``docs``; the last three null without words."""
     digest = digests(docs)
     every = nodes(digest)
-    edges, label = links(docs, every)
-    degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    labelled = every.select("node", "print", "first_doc").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = storage.staged(labelled.groupBy("label").agg(F.min("first_doc").alias("component_id"), F.min("node").alias("first_row")), "near-labels-named")
-    named = storage.staged(labelled.join(names, "label").join(degree, "node", "left").select("print", "component_id", "first_row", F.coalesce("links", F.lit(0)).alias("links")), "near-names")
-    rows = digest.select("doc_id", "row_", "key_", F.col("n").alias("n_shingles"), "print")
-    joined = rows.where("n_shingles > 0").join(named, "print").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("row_") == F.col("first_row"))).alias("kept"), "links", "row_", "key_")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("links"), "row_", "key_")
-    return joined.union(alone)
+    labelled = every.select("node", "print", "first_doc").join(links(docs, every), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    names = storage.staged(labelled.groupBy("label").agg(F.min("first_doc").alias("component_id"), F.min("node").alias("first_row")), "near-components")
+    known = storage.staged(labelled.join(names, "label").select("print", "label", "component_id", "first_row"), "near-names")
+    rows = digest.select("doc_id", "row_", "key_", "sum_", F.col("n").alias("n_shingles"), "print")
+    # Rows without words have no print; kept apart, so that they don't all meet in one task.
+    found = rows.where("n_shingles > 0").join(known, "print").drop("print")
+    alone = rows.where("n_shingles = 0").drop("print").withColumns({c: F.lit(None).cast("long") for c in ("label", "component_id", "first_row")})
+    return found.unionByName(alone)
+
+
+def membership(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
+    first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("row_") == F.col("first_row")))
+    alone = F.col("label").isNull()
+    return named(docs).select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | first).alias("kept"))
 
 
 def deduped(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id."""
-    found = storage.staged(membership(docs).select("key_", "kept", "n_shingles"), "near-kept")
-    gone = storage.staged(found.groupBy("key_").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"), F.max("n_shingles").alias("n")), "near-keys")
-    rows = docs.select(F.struct("*").alias("row_"), key_of().alias("key_"))
-    kept = held_by(rows, gone.where("NOT kept").select("key_"), "key_", "left_anti")
-    again = gone.where("kept AND rows > 1 AND n > 0").select("key_")
+    """``docs`` with one row of each component: the one with the smallest id, and of texts that share it, the smallest hash."""
+    keys = ["key_", "sum_"]
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), *keys)
+    found = storage.staged(named(docs).where("label IS NOT NULL").groupBy("label", *keys).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "near-texts")
+    best = storage.staged(found.groupBy("label").agg(F.min(rank).alias("best")), "near-best")
+    judged = storage.staged(found.join(best, "label").select(*keys, "rows", (F.col("best") == rank).alias("stays")), "near-judged")
+    rows = docs.select(F.struct("*").alias("row_"), key_of().alias("key_"), F.xxhash64("text").alias("sum_"))
+    kept = held_by(rows, judged.where("NOT stays").select(*keys), keys, "left_anti")
+    again = judged.where("stays AND rows > 1").select(*keys)
     if not again.limit(1).count():
         return kept.select("row_.*")
-    once = held_by(kept, again, "key_", "left_semi").dropDuplicates(["key_"])
-    return held_by(kept, again, "key_", "left_anti").unionByName(once).select("row_.*")
+    once = held_by(kept, again, keys, "left_semi").dropDuplicates(keys)
+    return held_by(kept, again, keys, "left_anti").unionByName(once).select("row_.*")
 
 
 def op9_hamming_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return membership(storage.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "links")
+    return membership(storage.table(spark, sf_dir, "documents"))
