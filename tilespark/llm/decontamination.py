@@ -7,9 +7,11 @@ holds three quarters of an item's shingles can miss too few of them to miss the
 whole sketch, so one look-up of each document's shingles among the sketches finds
 every candidate; the share of the item's shingles in the document then decides.
 
-Documents are read once for each block of items and never shuffled. Blocks hold a
-bounded number of shingles, so what is broadcast is bounded whatever the size of
-the benchmark.
+Documents are never shuffled. Items go in blocks of a bounded number of shingles, and
+blocks in waves of ``WAVE``: a wave is broadcast, the documents are read and shingled
+once for all of it, and where more waves follow its result is written before the next
+is broadcast. So what is broadcast is bounded whatever the size of the benchmark, and
+benchmarks of up to ``WAVE * BLOCK_SHINGLES`` shingles take one pass.
 
 Edge cases: null and empty items or documents match nothing; an item of fewer than
 five words is one shingle and matches only a document of just these words;
@@ -20,7 +22,7 @@ result; other columns are kept by ``clean`` and ignored by ``contained``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +35,8 @@ from tilespark.llm import storage, textkit
 SHARE_OF_100 = 75
 #: Shingles of a block of items, at 8 bytes each.
 BLOCK_SHINGLES = 1_000_000
+#: Blocks that are broadcast together: about 64 MB of sets, and half of that again for sketches.
+WAVE = 8
 
 
 @dataclass(frozen=True)
@@ -85,59 +89,81 @@ def blocks(benchmark: DataFrame, nameless: bool = False) -> Iterator[Block]:
 
 def found_in(block: Block, values: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(row, item's place, shared shingles) for the items that enough of a row's set contains."""
+    if not len(block.keys) or not len(values):
+        return
     place = np.minimum(np.searchsorted(block.keys, values), len(block.keys) - 1)
     hit = np.flatnonzero(block.keys[place] == values)
     if not len(hit):
         return
-    row = np.searchsorted(at, hit, "right") - 1
-    tried = set()
-    for r, k in zip(row.tolist(), place[hit].tolist(), strict=True):
-        for item in block.owners[block.starts[k] : block.starts[k + 1]].tolist():
-            if (r, item) not in tried:
-                tried.add((r, item))
-                own, text = block.sets[item], values[at[r] : at[r + 1]]
-                where = np.minimum(np.searchsorted(text, own), len(text) - 1)
-                shared = int((text[where] == own).sum())
-                if 100 * shared >= SHARE_OF_100 * len(own):
-                    yield r, item, shared
+    row, place = np.searchsorted(at, hit, "right") - 1, place[hit]
+    count = block.starts[place + 1] - block.starts[place]
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    owner = block.owners[np.repeat(block.starts[place], count) + nth]
+    for code in np.unique(np.repeat(row, count) * len(block.sets) + owner).tolist():
+        r, item = divmod(code, len(block.sets))
+        own, text = block.sets[item], values[at[r] : at[r + 1]]
+        where = np.minimum(np.searchsorted(text, own), len(text) - 1)
+        shared = int((text[where] == own).sum())
+        if 100 * shared >= SHARE_OF_100 * len(own):
+            yield r, item, shared
+
+
+def waves(found: Iterator[Block]) -> Iterator[tuple[list[Block], bool]]:
+    """Some blocks at a time, and whether they are the last."""
+    held: list[Block] = []
+    for block in found:
+        if len(held) == WAVE:
+            yield held, False
+            held = []
+        held.append(block)
+    if held:
+        yield held, True
 
 
 def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item_shingles, shared: one row for each document and item that it contains."""
-    spark, parts = docs.sparkSession, []
+    spark = docs.sparkSession
     schema = "doc_id long, item_id long, item_shingles long, shared long"
-    for block in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
+    out = spark.createDataFrame([], schema)
+    for wave, last in waves(blocks(benchmark)):
+        sent = spark.sparkContext.broadcast(wave)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for first, to, data, offs in textkit.slices(batch.column("text")):
-                    block, ids = sent.value, batch.column("doc_id")
-                    got = list(found_in(block, *textkit.shingle_sets(data, offs)))
+                for first, _, data, offs in textkit.slices(batch.column("text")):
+                    values, at = textkit.shingle_sets(data, offs)
+                    got = [(first + r, block.ids[i], len(block.sets[i]), s) for block in sent.value for r, i, s in found_in(block, values, at)]
                     if got:
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([first + r for r, _, _ in got])), pa.array(block.ids[[i for _, i, _ in got]]), pa.array([len(block.sets[i]) for _, i, _ in got], pa.int64()), pa.array([s for _, _, s in got], pa.int64())], names=["doc_id", "item_id", "item_shingles", "shared"])
+                        row, *rest = zip(*got, strict=True)
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *(pa.array(c, pa.int64()) for c in rest)], names=["doc_id", "item_id", "item_shingles", "shared"])
 
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, schema))
-    out = spark.createDataFrame([], schema) if not parts else parts[0]
-    for part in parts[1:]:
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, schema)
+        if not last:
+            part = storage.staged(part, "contained")
+            sent.unpersist()
         out = out.union(part)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that contain an item."""
-    spark, kept = docs.sparkSession, docs
-    for block in blocks(benchmark, nameless=True):
-        sent = spark.sparkContext.broadcast(block)
-
-        def free(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for first, to, data, offs in textkit.slices(batch.column("text")):
-                    dirty = {r for r, _, _ in found_in(sent.value, *textkit.shingle_sets(data, offs))}
-                    yield pa.RecordBatch.from_arrays([batch.column("row_").take(pa.array([first + r for r in range(to - first) if r not in dirty], pa.int64()))], names=["row_"])
-
-        wrapped = kept.select(F.struct("*").alias("row_"), "text")
-        kept = wrapped.mapInArrow(free, wrapped.select("row_").schema).select("row_.*")
+    kept = docs
+    for wave, last in waves(blocks(benchmark, nameless=True)):
+        sent = docs.sparkSession.sparkContext.broadcast(wave)
+
+        def free(sent=sent) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+            def keeps(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+                out, (values, at) = np.ones(len(offs) - 1, bool), textkit.shingle_sets(data, offs)
+                for block in sent.value:
+                    out[[r for r, _, _ in found_in(block, values, at)]] = False
+                return out
+
+            return keeps
+
+        kept = textkit.filtered(kept, free)
+        if not last:
+            kept = storage.staged(kept, "clean")
+            sent.unpersist()
     return kept
 
 

@@ -10,8 +10,9 @@ At most ``PER_CLASS`` labelled rows of each label are used (a bounded, documente
 sample); statistics and scores cover whole texts of all rows.
 
 Edge cases: null and empty texts have statistics of 0 and a score like others;
-without labels of both kinds every score is 0.5; repeated rows score alike; other
-columns are ignored; an empty table gives an empty result.
+without labels of both kinds every score is 0.5; repeated rows score alike; of
+different texts that share a labelled id, the one with the smallest hash is learned;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,7 +81,8 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, to, data, offs in textkit.slices(batch.column("text")):
             values = statistics(data, offs).astype(np.float32)
             stats = pa.ListArray.from_arrays(pa.array(np.arange(to - first + 1) * len(NAMES), pa.int32()), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, to - first), stats], names=["doc_id", "stats"])
+            part = batch.slice(first, to - first)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sum_"), stats], names=["doc_id", "sum_", "stats"])
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -108,14 +110,14 @@ def solved(gram: np.ndarray, cross: np.ndarray, rows: float) -> np.ndarray:
 
 
 def isotonic(good: np.ndarray, every: np.ndarray) -> np.ndarray:
-    """Pool adjacent violators: a rising probability for each bin, from weighted counts by bin."""
+    """Pool adjacent violators: for each bin a probability that never falls, from weighted counts by bin. Pooled bins have their common mean; empty ones join those before."""
     blocks: list[list[float]] = []
     for g, n in zip(good, every, strict=True):
         blocks.append([g, n, 1])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             g2, n2, k2 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + g2, blocks[-1][1] + n2, blocks[-1][2] + k2]
-    return np.concatenate([np.full(int(k), (g + 0.5) / (n + 1)) for g, n, k in blocks])
+    return np.concatenate([np.full(int(k), g / n if n else 0.5) for g, n, k in blocks])
 
 
 @dataclass(frozen=True)
@@ -137,7 +139,9 @@ def fitted(stats: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> M
     if chosen.select("label").distinct().count() < 2:
         return None
     half = (F.xxhash64("doc_id", F.lit("half")) % 2 == 0).cast("int").alias("half")
-    rows = storage.staged(stats.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("stats", "label", "weight", half).coalesce(PARTS), "quality-rows")
+    # Of texts that share an id, the one with the smallest hash: reruns learn alike.
+    first = stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("sum_", "stats")).alias("first"), F.first("label").alias("label"), F.first("weight").alias("weight"))
+    rows = storage.staged(first.select("first.stats", "label", "weight", half).coalesce(PARTS), "quality-rows")
 
     width = len(NAMES)
     columns = [F.element_at("stats", i + 1).cast("double") for i in range(width)]
@@ -181,7 +185,7 @@ def fitted(stats: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> M
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: one row a document."""
-    stats = storage.staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measured, "doc_id long, stats array<float>"), "quality-stats")
+    stats = storage.staged(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("sum_"), "text").mapInArrow(measured, "doc_id long, sum_ long, stats array<float>"), "quality-stats")
     model = fitted(stats, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

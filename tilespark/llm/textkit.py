@@ -7,11 +7,12 @@ longest single text, never the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
 LONG_WORD = 256
@@ -144,3 +145,15 @@ def binary_column(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """One binary value a row: the bytes of ``values`` between its offsets."""
     at = np.asarray(offsets, np.int64) * values.itemsize
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def filtered(docs: DataFrame, make: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs`` that a function of their texts (bytes, offsets) keeps; ``make`` makes it in a task. Every column crosses to Python once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = make()
+        for batch in batches:
+            for first, to, data, offs in slices(batch.column("text")):
+                yield batch.slice(first, to - first).filter(pa.array(np.asarray(keeps(data, offs), bool)))
+
+    return docs.mapInArrow(run, docs.schema)

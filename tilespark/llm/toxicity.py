@@ -10,13 +10,15 @@ documented sample, the first by a hash of the id, the rest made up for by
 weight); scores cover whole texts of all rows.
 
 Edge cases: null and empty texts score by the intercept alone; without labels of
-both kinds every score is 0; repeated rows score alike; other columns are kept by
-``rejected`` and ignored by ``scores``; rows without id are scored like others.
+both kinds every score is 0; repeated rows score alike; of different texts that share
+a labelled id, the one with the smallest hash is learned; other columns are kept by
+``rejected`` and ignored by ``scores``; rows without id are scored like others; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +81,8 @@ def ftrl(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, epochs:
 def learned(table: pa.Table) -> pa.Table:
     """One group, bounded by the sample: its rows in a fixed order, to the list of weights. Features are read where they lie."""
     ids, label, weight = (table.column(c).to_numpy() for c in ("doc_id", "label", "weight"))
-    order = np.argsort(textkit.mix(ids.astype(np.uint64)), kind="stable")
+    _, once = np.unique(ids, return_index=True)  # rows of one id are alike here
+    order = once[np.argsort(textkit.mix(ids[once].astype(np.uint64)), kind="stable")]
     texts: list[np.ndarray] = []
     for chunk in table.column("places").chunks:
         data, offs = textkit.buffers(chunk)
@@ -93,48 +96,63 @@ def model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     chosen = storage.staged(lab.sample(labels, "toxic", FOLDS, HELD_OUT, per_class), "toxic-sample")
     if chosen.select("label").distinct().count() < 2:
         return None
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("sum_"), "text")
+    # Of texts that share an id, the one with the smallest hash. Only ids and hashes are shuffled for that, and the list is as short as the sample.
+    first = rows.select("doc_id", "sum_").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("sum_").alias("sum_"), F.first("label").alias("label"), F.first("weight").alias("weight"))
+    texts = rows.join(F.broadcast(storage.staged(first, "toxic-firsts")), ["doc_id", "sum_"])
     sets = texts.select("doc_id", "label", "weight", "text").mapInArrow(feature_sets, "doc_id long, label int, weight double, places binary")
-    found = sets.withColumn("group", F.lit("all")).groupBy("group").applyInArrow(learned, "place int, value double").collect()
-    if not found:
+    found = sets.withColumn("group", F.lit("all")).groupBy("group").applyInArrow(learned, "place int, value double").toArrow()
+    if not found.num_rows:
         return None
-    return np.array([r["place"] for r in found], np.int32), np.array([r["value"] for r in found])
+    return found.column("place").to_numpy(), found.column("value").to_numpy()
 
 
-def add_scores(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray] | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of each row and ``score_``, in [0, 1]."""
+def scorer(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray] | None) -> Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """Makes, in a task, the function from texts (bytes, offsets) to scores in [0, 1]."""
     if weights is None:
-        return docs.select(*keep, F.lit(0.0).alias("score_"))
-    sent = docs.sparkSession.sparkContext.broadcast((weights[0], weights[1]))
+        return lambda: lambda data, offs: np.zeros(len(offs) - 1)
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_task() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         dense = np.zeros(DIMENSIONS + 1, np.float32)
         dense[sent.value[0]] = sent.value[1]
-        for batch in batches:
-            for first, to, data, offs in textkit.slices(batch.column("text_")):
-                place, row = features(data, offs)
-                hit = np.flatnonzero(dense[place])
-                pairs = np.unique(row[hit] * (DIMENSIONS + 1) + place[hit])
-                total = np.bincount(pairs // (DIMENSIONS + 1), dense[pairs % (DIMENSIONS + 1)].astype(np.float64), to - first) + float(dense[-1])
-                part = batch.slice(first, to - first).drop_columns(["text_"])
-                yield part.append_column("score_", pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35)))))
 
-    kept = docs.select(*keep, F.col("text").alias("text_"))
-    schema = docs.select(*keep, F.lit(0.0).alias("score_")).schema
-    return kept.mapInArrow(score, schema)
+        def score(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+            place, row = features(data, offs)
+            hit = np.flatnonzero(dense[place])
+            pairs = np.unique(row[hit] * (DIMENSIONS + 1) + place[hit])
+            total = np.bincount(pairs // (DIMENSIONS + 1), dense[pairs % (DIMENSIONS + 1)].astype(np.float64), len(offs) - 1) + float(dense[-1])
+            return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+        return score
+
+    return in_task
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: one row a document."""
-    return add_scores(docs, model(docs, labels), ["doc_id"]).select(
-        "doc_id", (lab.fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("score_").alias("score"), (F.col("score_") >= THRESHOLD).cast("int").alias("predicted")
+    make = scorer(docs, model(docs, labels))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = make()
+        for batch in batches:
+            for first, to, data, offs in textkit.slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, to - first), pa.array(score(data, offs))], names=["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, score double").select(
+        "doc_id", (lab.fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 
 def rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that score ``THRESHOLD`` or more."""
-    wrapped = docs.select(F.struct("*").alias("row_"), "text")
-    return add_scores(wrapped, model(docs, labels), ["row_"]).where(F.col("score_") < THRESHOLD).select("row_.*")
+    make = scorer(docs, model(docs, labels))
+
+    def free() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        score = make()
+        return lambda data, offs: score(data, offs) < THRESHOLD
+
+    return textkit.filtered(docs, free)
 
 
 def op7_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
