@@ -36,8 +36,7 @@ def to_target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row with its shard; the slot map is kept in the shared folder."""
-    slots = sharding.first_map(sharding.bytes_by_slot(docs), SHARDS)
-    slots.save(spark, storage.new_path(spark, "slot-map"))
+    slots = sharding.edited(spark, storage.new_path(spark, "slot-map"), sharding.bytes_by_slot(docs), SHARDS)
     return sharding.assign(docs, slots)
 
 
