@@ -13,8 +13,12 @@ Instances that reach ``CONFIDENCE`` through a pattern with ``LEAST_SEEDS`` diffe
 are unseen identifiers, of kind ``id``.
 
 The graph is a staged table of (pattern, instance) pairs with counts, summed before it is
-shuffled; scores join it by key, in rounds of fixed number. Texts are read twice: for
-tokens, and for the number of places at which a pattern with enough seeds stands.
+shuffled; scores join it by key, in rounds of fixed number. A pattern counts if it could
+reach ``CONFIDENCE``: if identifiers stand at that share of its places at least. Texts
+are read for tokens, and again for the places of patterns with enough seeds. Common
+words precede some seeds in any large corpus; so that they aren't counted all through
+it, places are counted in growing ``PARTS`` of the documents first, and what already has
+too many there is dropped: counts only grow, so nothing else would come of it.
 
 Edge cases: null counts as empty and has no spans; an empty table gives an empty
 result; without seeds nothing is discovered; repeated rows get the same spans;
@@ -56,6 +60,8 @@ LEAST_LENGTH, LEAST_DIGITS = 8, 2
 ROUNDS, CONFIDENCE, LEAST_SEEDS = 3, 0.6, 3
 #: Characters beside a match that are kept; its words are the last or first two whole ones in there.
 BESIDE = 80
+#: One in so many documents, by a hash of the text; the last count is over all.
+PARTS = (4096, 64, 1)
 #: Up to so many patterns (a few dozen bytes each) are broadcast; beyond, the join is shuffled.
 BROADCAST_PATTERNS = 200_000
 
@@ -196,8 +202,17 @@ def occurrences(scanned: DataFrame) -> DataFrame:
     return every.select("row_", "start", "end", "instance", "base", F.col("instance").rlike(KEY_LIKE).alias("key_like"), patterns.alias("patterns"))
 
 
+def able(patterns: DataFrame, docs: DataFrame) -> DataFrame:
+    """pattern, places: of (pattern, times), those whose places, over all texts, don't outnumber their identifiers too far."""
+    for part in PARTS:
+        some = docs if part == 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+        counted = patterns.join(places(some, patterns), "pattern", "left").withColumn("places", F.greatest("times", F.coalesce("places", F.lit(0))))
+        patterns = storage.staged(counted.where(F.col("times") >= CONFIDENCE * F.col("places")).select("pattern", "times", *(["places"] if part == 1 else [])), f"pii-able-{part}")
+    return patterns.select("pattern", "places")
+
+
 def places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, places: where in all texts each pattern stands, whatever is beside it. ``patterns`` is staged, one row each."""
+    """pattern, places: where in the texts each pattern stands, whatever is beside it. ``patterns`` is staged, one row each."""
     words = F.split(F.trim(F.regexp_replace(plain(masked(F.coalesce("text", F.lit("")))), BLANK, " ")), " ")
     rows = docs.select(words.alias("w")).withColumn("n", F.size("w") - 1)
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))
@@ -218,13 +233,13 @@ def scored(docs: DataFrame, found: DataFrame) -> DataFrame:
     """instance, score: instances other than base spans that reach ``CONFIDENCE``."""
     edges = found.select("instance", "base", "key_like", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("base").alias("base"), F.max(F.col("base") | F.col("key_like")).alias("seed"), F.count("*").alias("times"))
     edges = storage.staged(edges, "pii-graph")
-    likely = storage.staged(edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS), "pii-likely")
-    likely = storage.staged(likely.join(places(docs, likely), "pattern").select("pattern", "places"), "pii-patterns")
+    likely = storage.staged(edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.sum("times").alias("times")).where(F.col("seeds") >= LEAST_SEEDS).select("pattern", "times"), "pii-likely")
+    likely = able(likely, docs)
     side = F.broadcast(likely) if likely.count() <= BROADCAST_PATTERNS else likely
     edges = storage.staged(edges.join(side, "pattern"), "pii-edges")
     instances = edges.groupBy("instance").agg(F.max("base").alias("base"), F.max(F.col("seed").cast("double")).alias("score"))
     for k in range(ROUNDS):
-        weights = edges.join(instances.select("instance", "score"), "instance").groupBy("pattern").agg((F.sum(F.col("times") * F.col("score")) / (F.greatest(F.max("places"), F.sum("times")) + 1.0)).alias("weight"))
+        weights = edges.join(instances.select("instance", "score"), "instance").groupBy("pattern").agg((F.sum(F.col("times") * F.col("score")) / (F.max("places") + 1.0)).alias("weight"))
         weights = storage.staged(weights, f"pii-weights-{k}")
         reached = edges.join(weights, "pattern").groupBy("instance").agg(F.max("base").alias("base"), F.max("weight").alias("best"))
         instances = storage.staged(reached.select("instance", "base", F.when(F.col("base"), 1.0).otherwise(F.col("best")).alias("score")), f"pii-instances-{k}")
