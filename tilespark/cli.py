@@ -159,7 +159,7 @@ def main(args: list[str], spark: Callable[[], SparkSession], stdin: TextIO = sys
         return OK
     began = time.time()
     token = f["token"] or os.environ.get("TILE_TOKEN", "")
-    read = source or (lambda wanted: http.fetched(wanted, f["url"], token, f["workers"]))
+    read = source or http.TileSource(f["url"], token, f["workers"])
     try:
         if kind == "webp":
             raise RuntimeError("webp output needs an encoder that is not installed; use .png or .jpg")
@@ -168,7 +168,7 @@ def main(args: list[str], spark: Callable[[], SparkSession], stdin: TextIO = sys
         outcome = made.outcomes.first()
         if outcome["outcome"] != "ok":
             said = {"too_large": "area too large for the tile budget at every zoom", "none": "no imagery found at any zoom", "unreachable": "tile server unreachable", "fatal": "tile server refused request"}
-            raise run.NoImagery(said[outcome["outcome"]])
+            raise run.NoImagery(outcome["error"] if outcome["outcome"] == "fatal" else ": ".join(x for x in (said[outcome["outcome"]], outcome["error"]) if x))
         record = run.write(made, 0, path, target, wish, time.time() - began, VERSION)
     except (RuntimeError, OSError) as e:
         print("error:", labels.redact(str(e)), file=err)

@@ -6,6 +6,8 @@ exploded into rows and everything joins by equal keys; there is no range join.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,7 +61,7 @@ def skipped(tiles: DataFrame, span_rows: DataFrame, keys: list[str]) -> DataFram
     return tiles.join(touched(span_rows, keys), [*keys, "x", "y"], "left_anti")
 
 
-def mask(rows: list[tuple[int, int, int]], x0: int, y0: int, width: int, height: int) -> np.ndarray:
+def mask(rows: Iterable[tuple[int, int, int]], x0: int, y0: int, width: int, height: int) -> np.ndarray:
     """Which pixels of a window are inside any of the spans (y, from, to): the union of the polygons."""
     inside = np.zeros((height, width), bool)
     for y, a, b in rows:

@@ -38,6 +38,15 @@ def provenance(wanted: DataFrame, statuses: DataFrame, fill: bool = True) -> Dat
     )
 
 
+def refused(wanted: DataFrame, statuses: DataFrame, keys: list[str], fill: bool = True) -> DataFrame:
+    """keys, error: groups of wanted tiles of which one meets a refusal before it meets imagery, going from itself up; and what was said."""
+    found = statuses.select(F.col("z").alias("az"), F.col("x").alias("ax"), F.col("y").alias("ay"), "status", "error", "fatal")
+    steps = family(wanted, FURTHEST if fill else 0).join(found, ["az", "ax", "ay"])
+    good = F.col("error").isNull() & (F.col("status") == "ok")
+    met = steps.groupBy(*keys, "z", "x", "y").agg(F.min(F.when(good | F.col("fatal"), F.struct("up", "fatal", "error"))).alias("first"))
+    return met.where("first.fatal").groupBy(*keys).agg(F.min_by("first.error", F.struct("y", "x")).alias("error"))
+
+
 def stats(resolved: DataFrame, keys: list[str]) -> DataFrame:
     """keys, native, gap_filled, placeholder, empty, complete."""
     count = lambda kind: F.count_if(F.col("kind") == kind)

@@ -1,12 +1,12 @@
-"""Judging tiles: filler detection and sharpness, over RGBA tiles in Arrow batches and over pixel tables in SQL."""
+"""Judging tiles: filler detection and sharpness, over RGBA tiles in Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the two judgements.
@@ -17,17 +17,33 @@ LUMA = (0.299, 0.587, 0.114)
 LEAST_SIDE = 8
 
 
-def is_filler(rgb: np.ndarray) -> bool:
-    """Nearly all samples grey, one middle level prevailing."""
+def seen(image: np.ndarray) -> np.ndarray:
+    """Red, green and blue as they show on black: pixels that aren't opaque count with their alpha, in 16 bits."""
+    if image.shape[2] < 4 or (image[..., 3] == 255).all():
+        return image[..., :3]
+    wide = image.astype(np.uint32) * 257
+    return (wide[..., :3] * wide[..., 3:] // 65535 >> 8).astype(np.uint8)
+
+
+def grey_levels(rgb: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of samples, and how many of them are grey at each level."""
     some = rgb[::SAMPLE_STEP, ::SAMPLE_STEP, :3].reshape(-1, 3).astype(np.int64)
-    if not len(some):
-        return False
-    grey = some[some.max(axis=1) - some.min(axis=1) <= GREY_SPREAD]
-    if len(grey) < GREY_SHARE * len(some):
-        return False
-    levels = np.bincount(grey.sum(axis=1) // 3, minlength=256)
-    mode = int(levels.argmax())
-    return MODE_LOW <= mode <= MODE_HIGH and levels[max(0, mode - MODE_REACH) : mode + MODE_REACH + 1].sum() >= MODE_SHARE * len(some)
+    grey = some[some.max(axis=1) - some.min(axis=1) <= GREY_SPREAD] if len(some) else some
+    return len(some), np.bincount(grey.sum(axis=1) // 3, minlength=256)
+
+
+def filler_facts(rgb: np.ndarray) -> tuple[int, int, int | None, int, bool]:
+    """(samples, grey ones, their commonest level, those near it, whether that makes a filler): nearly all grey, one middle level prevailing."""
+    samples, levels = grey_levels(rgb)
+    grey, mode = int(levels.sum()), int(levels.argmax())
+    if not grey:
+        return samples, 0, None, 0, False
+    near = int(levels[max(0, mode - MODE_REACH) : mode + MODE_REACH + 1].sum())
+    return samples, grey, mode, near, grey >= GREY_SHARE * samples and MODE_LOW <= mode <= MODE_HIGH and near >= MODE_SHARE * samples
+
+
+def is_filler(rgb: np.ndarray) -> bool:
+    return filler_facts(rgb)[-1]
 
 
 def halved(luma: np.ndarray) -> np.ndarray:
@@ -50,13 +66,21 @@ def lost_detail(fine: np.ndarray, coarse: np.ndarray) -> float:
     return float(np.mean((fine[1:-1, 1:-1] - (rows(y) * (1 - fy) + rows(y + 1) * fy)) ** 2))
 
 
+def luminance(rgb: np.ndarray) -> np.ndarray:
+    return rgb[..., :3].astype(np.float64) @ np.array(LUMA)
+
+
+def variance_of(luma: np.ndarray) -> float:
+    return float((luma**2).mean() - luma.mean() ** 2)
+
+
 def sharpness(rgb: np.ndarray) -> tuple[float, float, float]:
     """Energy in the finest octave, in the next, and the variance of the luminance."""
     if min(rgb.shape[:2]) < LEAST_SIDE:
         raise ValueError(f"a tile needs {LEAST_SIDE} pixels a side to be judged")
-    luma = rgb[..., :3].astype(np.float64) @ np.array(LUMA)
+    luma = luminance(rgb)
     half = halved(luma)
-    return lost_detail(luma, half), lost_detail(half, halved(half)), float((luma**2).mean() - luma.mean() ** 2)
+    return lost_detail(luma, half), lost_detail(half, halved(half)), variance_of(luma)
 
 
 def verdict(top: Column, next_: Column, variance: Column, threshold: float = DETAIL) -> Column:
@@ -72,7 +96,7 @@ def verdict(top: Column, next_: Column, variance: Column, threshold: float = DET
 JUDGED = "z int, x long, y long, status string, error string, fatal boolean, top double, next double, variance double"
 
 
-def judged(tiles: DataFrame, measure: bool = True) -> DataFrame:
+def judged(tiles: DataFrame, measure: bool = True, threshold: float = DETAIL) -> DataFrame:
     """z, x, y, status, error, fatal, top, next, variance, verdict for tiles with data. Fillers turn from ok to placeholder."""
     wide = tiles
     for name, kind in (("error", "string"), ("fatal", "boolean")):
@@ -85,7 +109,7 @@ def judged(tiles: DataFrame, measure: bool = True) -> DataFrame:
             for r in batch.to_pylist():
                 status, energy = r["status"], (None, None, None)
                 if r["data"] is not None and status == "ok":
-                    image = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 4)
+                    image = seen(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 4))
                     status = "placeholder" if is_filler(image) else "ok"
                     if measure and status == "ok":
                         energy = sharpness(image)
@@ -94,40 +118,27 @@ def judged(tiles: DataFrame, measure: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in JUDGED.split(", ")])
 
     out = wide.select("z", "x", "y", "status", "error", "fatal", "width", "height", "data").mapInArrow(judge, JUDGED)
-    return out.withColumn("verdict", F.when(F.col("variance").isNotNull(), verdict(F.col("top"), F.col("next"), F.col("variance"))))
-
-
-# The same over tables with one row a pixel, for checks in SQL.
-
+    return out.withColumn("verdict", F.when(F.col("variance").isNotNull(), verdict(F.col("top"), F.col("next"), F.col("variance"), threshold)))
 
-def grey_levels(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, level, n: levels of the samples that are grey."""
-    spread = F.greatest("r", "g", "b") - F.least("r", "g", "b")
-    return pixels.where(spread <= GREY_SPREAD).groupBy(*keys, F.floor((F.col("r") + F.col("g") + F.col("b")) / 3).cast("int").alias("level")).agg(F.count("*").alias("n"))
 
+def facts(tiles: DataFrame, of: Callable[[np.ndarray], list[tuple]], columns: str) -> DataFrame:
+    """id and ``columns``: what a function says of each image (id, width, height, data), as rows."""
 
-def filler_by_key(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, samples, grey, mode, near, placeholder."""
-    total = pixels.groupBy(*keys).agg(F.count("*").alias("samples"))
-    levels = grey_levels(pixels, keys)
-    best = levels.groupBy(*keys).agg(F.sum("n").alias("grey"), F.max_by(F.col("level"), F.struct("n", -F.col("level"))).alias("mode"))
-    near = levels.join(best, keys).where(F.abs(F.col("level") - F.col("mode")) <= MODE_REACH).groupBy(*keys).agg(F.sum("n").alias("near"))
-    joined = total.join(best, keys, "left").join(near, keys, "left")
-    grey, close = F.coalesce("grey", F.lit(0)), F.coalesce("near", F.lit(0))
-    filler = (grey >= GREY_SHARE * F.col("samples")) & F.col("mode").between(MODE_LOW, MODE_HIGH) & (close >= MODE_SHARE * F.col("samples"))
-    return joined.select(*keys, "samples", grey.alias("grey"), "mode", close.alias("near"), F.coalesce(filler, F.lit(False)).alias("placeholder"))
-
-
-def half_table(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """keys, x, y, v: means of two by two; cells that aren't whole go."""
-    cells = pixels.groupBy(*keys, F.floor(F.col("x") / 2).alias("hx"), F.floor(F.col("y") / 2).alias("hy")).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    return cells.where("n = 4").select(*keys, F.col("hx").alias("x"), F.col("hy").alias("y"), (F.col("s") / 4).alias(value))
-
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows = [(r["id"], *said) for said in of(seen(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 4)))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-def variance_table(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    return pixels.groupBy(*keys).agg(F.avg(value).alias("mean"), F.var_pop(value).alias("variance"))
+    text = f"id long, {columns}"
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in text.split(", "))])
+    return tiles.select("id", "width", "height", "data").mapInArrow(look, text)
 
 
-def nth_level(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Levels ranked by count, the lowest first among equals."""
-    return grey_levels(pixels, keys).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "level")))
+def ranked_levels(rgb: np.ndarray) -> list[tuple[int, int, int]]:
+    """(level, samples, rank): grey levels by count, the lowest first among equals."""
+    levels = grey_levels(rgb)[1]
+    order = np.lexsort((np.arange(256), -levels))
+    return [(int(v), int(levels[v]), k + 1) for k, v in enumerate(order.tolist()) if levels[v]]

@@ -14,6 +14,7 @@ from tilespark.plans import layout
 from tilespark.sources import images
 
 LONGEST_OVERVIEW = 4096
+BAND_BYTES = 32 << 20
 CHUNK_KEYS = ["aoi_id", "chunk_row", "chunk_col"]
 DRAWN = "aoi_id long, chunk_row long, chunk_col long, width int, height int, sha256 string, bytes long, data binary, part binary, part_x int, part_y int, part_w int, part_h int"
 
@@ -34,49 +35,59 @@ def block_means(image: np.ndarray, ox: int, oy: int, scale: float, width: int, h
         return first, low, high
 
     (x, x0, x1), (y, y0, y1) = axis(ox, image.shape[1], width), axis(oy, image.shape[0], height)
-    sums = np.zeros((image.shape[0] + 1, image.shape[1] + 1, 4), np.int64)
-    sums[1:, 1:] = image.astype(np.int64).cumsum(axis=0).cumsum(axis=1)
-    total = sums[y1[:, None], x1] - sums[y0[:, None], x1] - sums[y1[:, None], x0] + sums[y0[:, None], x0]
-    count = ((y1 - y0)[:, None] * (x1 - x0))[..., None]
-    return x, y, (total // np.maximum(count, 1)).astype(np.uint8)
-
-
-def canvas(tiles: list[dict], spans: list[tuple[int, int, int]] | None, x0: int, y0: int, width: int, height: int) -> np.ndarray:
-    """A chunk's RGBA pixels; where no tile or no polygon is, all zero."""
+    if not len(x0) or not len(y0):
+        return x, y, np.zeros((len(y0), len(x0), 4), np.uint8)
+    # The pixels behind neighbours adjoin, so their sums are sums of runs; in bands, as sums take eight bytes each.
+    out, band = np.empty((len(y0), len(x0), 4), np.uint8), max(1, BAND_BYTES // max(32 * len(x0) * int((y1 - y0).max()), 1))
+    for at in range(0, len(y0), band):
+        low, high = y0[at : at + band], y1[at : at + band]
+        rows = np.add.reduceat(image[low[0] : high[-1], x0[0] : x1[-1]], x0 - x0[0], axis=1, dtype=np.int64)
+        count = ((high - low)[:, None] * (x1 - x0))[..., None]
+        out[at : at + band] = np.add.reduceat(rows, low - low[0], axis=0) // count
+    return x, y, out
+
+
+def canvas(table: pa.Table, spans: list[np.ndarray] | None, x0: int, y0: int, width: int, height: int) -> np.ndarray:
+    """A chunk's RGBA pixels; where no tile or no polygon is, all zero. Tiles are read where they lie."""
     out = np.zeros((height, width, 4), np.uint8)
-    for t in tiles:
-        if t["image"] is None:
-            continue
-        tile = np.frombuffer(t["image"], np.uint8).reshape(layout.m.TILE, layout.m.TILE, 4)
-        w, h = t["px1"] - t["px0"], t["py1"] - t["py0"]
-        out[t["py0"] : t["py1"], t["px0"] : t["px1"]] = tile[t["oy"] : t["oy"] + h, t["ox"] : t["ox"] + w]
+    places = [table.column(c).to_pylist() for c in ("px0", "py0", "px1", "py1", "ox", "oy")]
+    for image, px0, py0, px1, py1, ox, oy in zip(table.column("image"), *places, strict=True):
+        if image.is_valid:
+            tile = np.frombuffer(image.as_buffer(), np.uint8).reshape(layout.m.TILE, layout.m.TILE, 4)
+            out[py0:py1, px0:px1] = tile[oy : oy + py1 - py0, ox : ox + px1 - px0]
     if spans is not None:
-        out[~clip.mask(spans, x0, y0, width, height)] = 0
+        inside = clip.mask(zip(*(v.tolist() for v in spans), strict=True), x0, y0, width, height)
+        for at in range(0, height, 256):
+            out[at : at + 256][~inside[at : at + 256]] = 0
     return out
 
 
-def stitched(chunks: DataFrame, tiles: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+def spans_by_chunk(chunks: DataFrame, spans: DataFrame, side: int) -> DataFrame:
+    """The spans of each chunk, by division: every chunk of a span's row that it reaches."""
+    per = max(side // layout.m.TILE, 1)
+    areas = chunks.select("aoi_id", "tx0", "ty0", "chunk_rows", "chunk_cols").distinct()
+    single, zero = F.col("chunk_rows") * F.col("chunk_cols") == 1, F.lit(0).cast("long")
+    cell = lambda v, first: F.when(single, zero).otherwise(F.expr(f"({v} div {layout.m.TILE} - {first}) div {per}"))
+    rows = spans.join(areas, "aoi_id").withColumn("chunk_row", cell("y", "ty0"))
+    return rows.withColumn("chunk_col", F.explode(F.sequence(cell("from_x", "tx0"), cell("(to_x - 1)", "tx0")))).select(*CHUNK_KEYS, "y", "from_x", "to_x")
+
+
+def stitched(chunks: DataFrame, tiles: DataFrame, spans: DataFrame | None = None, side: int = layout.DEFAULT_CHUNK) -> DataFrame:
     """One row a chunk: its PNG, SHA-256, size, and its part of the overview (null for areas of one chunk).
 
-    ``chunks`` as planned; ``tiles`` placed on their chunks, with image; ``spans`` inside pixels by area.
+    ``chunks`` as planned, of up to ``side`` pixels; ``tiles`` placed on their chunks, with image; ``spans`` inside pixels by area.
     """
     head = ["cx0", "cy0", "cx1", "cy1", "x0", "y0", "x1", "y1", "chunk_rows", "chunk_cols"]
-    plan = chunks.select(*CHUNK_KEYS, *head)
     rows = tiles.select(*CHUNK_KEYS, "px0", "py0", "px1", "py1", "ox", "oy", "image")
-    joined = plan.join(rows, CHUNK_KEYS, "left")
-    clipped = spans is not None
-    if clipped:
-        near = plan.select(*CHUNK_KEYS, "cx0", "cy0", "cx1", "cy1").join(spans, "aoi_id").where("y >= cy0 AND y < cy1 AND to_x > cx0 AND from_x < cx1")
-        lines = near.groupBy(*CHUNK_KEYS).agg(F.collect_list(F.struct("y", "from_x", "to_x")).alias("lines"))
-        joined = joined.join(lines, CHUNK_KEYS, "left")
-    else:
-        joined = joined.withColumn("lines", F.lit(None).cast("array<struct<y:bigint,from_x:bigint,to_x:bigint>>"))
-
-    def draw(table: pa.Table) -> pa.Table:
-        first = table.slice(0, 1).to_pylist()[0]
+    joined = chunks.select(*CHUNK_KEYS, *head).join(rows, CHUNK_KEYS, "left")
+
+    def draw(table: pa.Table, lines: pa.Table | None = None) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        first = table.select([*CHUNK_KEYS, *head]).slice(0, 1).to_pylist()[0]
         x, y, w, h = first["cx0"], first["cy0"], first["cx1"] - first["cx0"], first["cy1"] - first["cy0"]
-        inside = [(s["y"], s["from_x"], s["to_x"]) for s in first["lines"] or []] if clipped else None
-        image = canvas(table.select(["px0", "py0", "px1", "py1", "ox", "oy", "image"]).to_pylist(), inside, x, y, w, h)
+        inside = None if lines is None else [lines.column(c).to_numpy() for c in ("y", "from_x", "to_x")]
+        image = canvas(table, inside, x, y, w, h)
         file = images.png(image)
         part: tuple = (None, None, None, None, None)
         if first["chunk_rows"] * first["chunk_cols"] > 1:
@@ -84,10 +95,14 @@ def stitched(chunks: DataFrame, tiles: DataFrame, spans: DataFrame | None = None
             px, py, block = block_means(image, x - first["x0"], y - first["y0"], scale, width, height)
             part = (block.tobytes(), px, py, block.shape[1], block.shape[0])
         row = (first["aoi_id"], first["chunk_row"], first["chunk_col"], w, h, hashlib.sha256(file).hexdigest(), len(file), file, *part)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in DRAWN.split(", ")])
+        return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
-    return joined.groupBy(*CHUNK_KEYS).applyInArrow(draw, DRAWN)
+    names = [c.split()[0] for c in DRAWN.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    grouped = joined.groupBy(*CHUNK_KEYS)
+    if spans is None:
+        return grouped.applyInArrow(lambda table: draw(table), DRAWN)
+    return grouped.cogroup(spans_by_chunk(chunks, spans, side).groupBy(*CHUNK_KEYS)).applyInArrow(lambda table, lines: draw(table, lines), DRAWN)
 
 
 def overviews(drawn: DataFrame, areas: DataFrame) -> DataFrame:
@@ -104,9 +119,3 @@ def overviews(drawn: DataFrame, areas: DataFrame) -> DataFrame:
         return pa.table({"aoi_id": pa.array([rows[0]["aoi_id"]], pa.int64()), "width": pa.array([width], pa.int32()), "height": pa.array([height], pa.int32()), "sha256": [hashlib.sha256(file).hexdigest()], "bytes": pa.array([len(file)], pa.int64()), "data": pa.array([file], pa.binary())})
 
     return parts.groupBy("aoi_id").applyInArrow(merge, "aoi_id long, width int, height int, sha256 string, bytes long, data binary")
-
-
-def overview_table(pixels: DataFrame, keys: list[str], factor: int) -> DataFrame:
-    """Integer means over blocks of ``factor`` pixels a side, for tables with one row a pixel."""
-    mean = lambda c: F.expr(f"sum({c}) div count(*)").cast("int").alias(c)
-    return pixels.groupBy(*keys, F.expr(f"x div {factor}").alias("bx"), F.expr(f"y div {factor}").alias("by")).agg(mean("r"), mean("g"), mean("b"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilespark.functions import settings
 from tilespark.plans import layout
 
 
@@ -23,16 +24,7 @@ class ZoomOptions:
     batch: int = layout.BATCH
 
     def __post_init__(self) -> None:
-        if not 0 <= self.max_zoom <= 23:
-            raise ValueError(f"zoom must be 0-23, got {self.max_zoom}")
-        if not 0 <= self.min_zoom <= self.max_zoom:
-            raise ValueError(f"min zoom must be between 0 and zoom ({self.max_zoom}), got {self.min_zoom}")
-        if self.max_tiles < 1:
-            raise ValueError("max tiles must be positive")
-        if not 0 < self.min_coverage <= 1:
-            raise ValueError("coverage must be in (0, 1]")
-        if self.detail_ratio < 0:
-            raise ValueError("detail must be >= 0")
+        settings.check(max_zoom=self.max_zoom, min_zoom=self.min_zoom, max_tiles=self.max_tiles, coverage=self.min_coverage, detail=self.detail_ratio)
 
 
 def tally(probed: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +41,7 @@ def tally(probed: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(ok & (F.col("verdict") == "upsampled")).alias("upsampled"),
         F.coalesce(F.bool_or(F.coalesce("fatal", F.lit(False)) & ~good), F.lit(False)).alias("fatal"),
         F.max_by("error", F.when(~good, F.col("nth"))).alias("last_error"),
+        F.min_by("error", F.when(F.col("fatal") & ~good, F.col("nth"))).alias("fatal_error"),
     )
 
 
@@ -73,17 +66,22 @@ def reason(options: ZoomOptions) -> Column:
 
 
 def outcomes(tallies: DataFrame, tops: DataFrame, keys: list[str], options: ZoomOptions) -> DataFrame:
-    """keys, top, outcome, zoom: one row an area. Outcomes: ok, none, unreachable, fatal, too_large.
+    """keys, top, outcome, zoom, error: one row an area. Outcomes: ok, none, unreachable, fatal, too_large.
 
     Levels are judged in batches from the top. A batch in which every sample failed ends the search
     before its levels count; within a batch the first fatal or accepted level does.
     """
     levels = tallies.join(tops.where("top IS NOT NULL"), keys).where("z <= top").withColumn("batch", layout.batch_number(F.col("top"), F.col("z"), options.batch)).withColumn("accepted", accepted(options))
     dead = F.bool_and(~F.col("fatal") & (F.col("failed") == F.col("sampled")) & (F.col("sampled") > 0))
-    batches = levels.groupBy(*keys, "batch").agg(dead.alias("dead"), F.max(F.when(F.col("fatal") | F.col("accepted"), F.struct("z", "fatal"))).alias("first"))
-    event = F.when(F.col("dead"), F.struct(F.lit("unreachable").alias("outcome"), F.lit(None).cast("int").alias("zoom"))).when(F.col("first").isNotNull(), F.struct(F.when(F.col("first.fatal"), "fatal").otherwise("ok").alias("outcome"), F.when(~F.col("first.fatal"), F.col("first.z")).cast("int").alias("zoom")))
+    first = F.max(F.when(F.col("fatal") | F.col("accepted"), F.struct("z", "fatal", "fatal_error")))
+    batches = levels.groupBy(*keys, "batch").agg(dead.alias("dead"), first.alias("first"), F.max_by("last_error", -F.col("z")).alias("last_error"))
+    none = F.lit(None).cast("int")
+    refused = F.col("first.fatal")
+    event = F.when(F.col("dead"), F.struct(F.lit("unreachable").alias("outcome"), none.alias("zoom"), F.col("last_error").alias("error"))).when(
+        F.col("first").isNotNull(), F.struct(F.when(refused, "fatal").otherwise("ok").alias("outcome"), F.when(~refused, F.col("first.z")).cast("int").alias("zoom"), F.when(refused, F.col("first.fatal_error")).alias("error"))
+    )
     found = batches.withColumn("event", event).groupBy(*keys).agg(F.min_by("event", F.when(F.col("event").isNotNull(), F.col("batch"))).alias("event"))
-    return tops.join(found, keys, "left").select(*keys, "top", F.when(F.col("top").isNull(), "too_large").otherwise(F.coalesce("event.outcome", F.lit("none"))).alias("outcome"), F.col("event.zoom").alias("zoom"))
+    return tops.join(found, keys, "left").select(*keys, "top", F.when(F.col("top").isNull(), "too_large").otherwise(F.coalesce("event.outcome", F.lit("none"))).alias("outcome"), F.col("event.zoom").alias("zoom"), F.col("event.error").alias("error"))
 
 
 def attempts(levels: DataFrame, tallies: DataFrame, chosen: DataFrame, keys: list[str], options: ZoomOptions) -> DataFrame:

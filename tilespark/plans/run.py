@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.functions import labels
+from tilespark.functions import labels, settings
 from tilespark.functions import mercator as m
 from tilespark.operators import clip, gapfill, quality, render, zoom
 from tilespark.plans import layout
@@ -47,16 +47,9 @@ class RunOptions:
     workers: int = 16
 
     def __post_init__(self) -> None:
-        if not 1 <= self.quality <= 100:
-            raise ValueError("q must be 1-100")
-        if not 1 <= self.workers <= 64:
-            raise ValueError("j must be 1-64")
-        if self.chunk < m.TILE:
-            raise ValueError(f"chunk must be at least {m.TILE}")
+        settings.check(quality=self.quality, workers=self.workers, chunk=self.chunk, format=self.format)
         if self.format not in labels.LONGEST_SIDE:
             raise ValueError(f"unsupported format {self.format}")
-        if self.chunk > labels.LONGEST_SIDE[self.format]:
-            raise ValueError(f"chunk {self.chunk} exceeds the {self.format} limit of {labels.LONGEST_SIDE[self.format]} px per side")
 
 
 @dataclass
@@ -74,31 +67,77 @@ class Run:
     network: DataFrame
 
 
-def read_once(source: Source, wanted: DataFrame, name: str) -> DataFrame:
-    """The wanted tiles, read once each and kept. Columns that a source lacks are null."""
-    found = source(wanted.select("z", "x", "y").distinct())
-    for column, kind in (("error", "string"), ("fatal", "boolean"), ("requests", "int"), ("bytes", "long")):
-        if column not in found.columns:
-            found = found.withColumn(column, F.lit(None).cast(kind))
-    return keep(found, name)
+class Reader:
+    """What a run has read: each tile once, with the verdict on it. Only tiles that nobody has asked for yet go to the source."""
+
+    def __init__(self, source: Source, detail_ratio: float) -> None:
+        self.source, self.detail_ratio = source, detail_ratio
+        self.reads: list[DataFrame] = []
+        self.judgements: list[DataFrame] = []
+
+    def read(self, wanted: DataFrame, name: str, probing: bool = False) -> None:
+        fresh = wanted.select("z", "x", "y").distinct()
+        if self.judgements:
+            fresh = fresh.join(self.statuses().select("z", "x", "y"), ["z", "x", "y"], "left_anti")
+        fresh = keep(fresh, f"{name}-wanted")
+        if self.judgements and not fresh.limit(1).count():
+            return
+        found = (self.source if probing else getattr(self.source, "strict", self.source))(fresh)
+        for column, kind in (("error", "string"), ("fatal", "boolean"), ("requests", "int"), ("bytes", "long")):
+            if column not in found.columns:
+                found = found.withColumn(column, F.lit(None).cast(kind))
+        self.reads.append(keep(found, name))
+        self.judgements.append(keep(quality.judged(self.reads[-1], probing and self.detail_ratio > 0, self.detail_ratio), f"{name}-judged"))
+
+    def statuses(self) -> DataFrame:
+        """z, x, y, status, error, fatal, verdict: one row a tile, as reads are disjoint."""
+        return together(self.judgements, ("z", "x", "y", "status", "error", "fatal", "verdict"))
+
+    def tiles(self) -> DataFrame:
+        return together(self.reads, ("z", "x", "y", "width", "height", "data"))
+
+    def network(self) -> DataFrame:
+        return together(self.reads, ("requests", "bytes")).agg(F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+    def resolve(self, wanted: DataFrame, fill: bool) -> None:
+        """Reads wanted tiles, then, level by level, the ancestors of those that have no imagery yet. A refusal ends a tile's way up."""
+        self.read(wanted, "tiles")
+        for up in range(1, gapfill.FURTHEST + 1 if fill else 1):
+            met = self.statuses().where("error IS NULL AND status = 'ok' OR fatal").select(F.col("z").alias("az"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+            below = gapfill.family(wanted.select("z", "x", "y").distinct(), up - 1)
+            done = below.join(met, ["az", "ax", "ay"], "left_semi").select("z", "x", "y").distinct()
+            left = keep(wanted.select("z", "x", "y").distinct().where(F.col("z") >= up).join(done, ["z", "x", "y"], "left_anti"), f"gaps-{up}")
+            if not left.limit(1).count():
+                break
+            self.read(gapfill.family(left, up).where(F.col("up") == up).select(F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y")), f"ancestors-{up}")
+
+
+def together(parts: list[DataFrame], columns: tuple[str, ...]) -> DataFrame:
+    out = parts[0].select(*columns)
+    for part in parts[1:]:
+        out = out.union(part.select(*columns))
+    return out
 
 
 def execute(areas: DataFrame, source: Source, options: RunOptions, positions: DataFrame | None = None) -> Run:
-    """Runs areas (aoi_id, min_lat, min_lon, max_lat, max_lon). ``positions`` are polygons (aoi_id, polygon, ring, nth, lon, lat) for clipping."""
+    """Runs areas (aoi_id, min_lat, min_lon, max_lat, max_lon). ``positions`` are polygons (aoi_id, polygon, ring, nth, lon, lat) for clipping.
+
+    A refusal decides only areas that meet it: at a level that is judged before one is accepted, or on the way
+    from a wanted tile up to its nearest imagery. Their outcome is ``fatal``, with what was said; others go on.
+    """
     if options.clip and positions is None:
         raise ValueError("clip needs polygons")
-    reads: list[DataFrame] = []
+    reader = Reader(source, options.zoom.detail_ratio)
 
-    def seen(wanted: DataFrame, name: str) -> DataFrame:
-        reads.append(read_once(source, wanted, name))
-        return keep(quality.judged(reads[-1], options.zoom.detail_ratio > 0), f"{name}-judged")
+    def probe(wanted: DataFrame) -> DataFrame:
+        reader.read(wanted, "probe", probing=True)
+        return reader.statuses()
 
-    outcomes, tallies = zoom.search(areas, KEYS, lambda wanted: seen(wanted, "probe"), options.zoom, keep)
+    outcomes, tallies = zoom.search(areas, KEYS, probe, options.zoom, keep)
     levels = layout.at_zooms(areas, options.zoom.max_zoom, options.zoom.min_zoom)
-    tries = zoom.attempts(levels, tallies, outcomes, KEYS, options.zoom)
+    tries = keep(zoom.attempts(levels, tallies, outcomes, KEYS, options.zoom), "attempts")
     chosen = areas.join(outcomes.where("outcome = 'ok'").select(*KEYS, F.col("zoom").alias("z")), KEYS)
     plan = keep(layout.grid(m.tiled(m.windowed(chosen, F.col("z"))), options.chunk), "areas")
-    chunks = keep(layout.chunks(plan.drop("chunk_rows", "chunk_cols"), options.chunk), "chunks")
     wanted = layout.chunk_of(layout.tiles(plan.drop("chunk_rows", "chunk_cols")), options.chunk).select("aoi_id", "z", "x", "y", "chunk_row", "chunk_col")
     spans = None
     skipped = wanted.groupBy(*KEYS).agg(F.lit(0).cast("long").alias("skipped"))
@@ -109,45 +148,22 @@ def execute(areas: DataFrame, source: Source, options: RunOptions, positions: Da
         skipped = clip.skipped(every, spans, KEYS).groupBy(*KEYS).agg(F.count("*").alias("skipped"))
         wanted = clip.kept(every, spans, KEYS)
     wanted = keep(wanted, "wanted")
-
-    known = reads[0].select("z", "x", "y") if reads else None
-    for part in reads[1:]:
-        known = known.union(part.select("z", "x", "y"))
-    fresh = wanted.select("z", "x", "y").distinct()
-    fresh = keep(fresh.join(known.distinct(), ["z", "x", "y"], "left_anti") if known is not None else fresh, "fresh")
-    judged = seen(fresh, "tiles")
-    tiles, statuses = together(reads), keep(statuses_of(together(reads)), "statuses")
-    if options.gap_fill:
-        gaps = wanted.join(statuses.where("status = 'ok' AND error IS NULL"), ["z", "x", "y"], "left_anti")
-        above = gapfill.family(gaps.select("z", "x", "y").distinct()).where("up > 0").select(F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
-        above = keep(above.join(statuses.select("z", "x", "y"), ["z", "x", "y"], "left_anti"), "above")
-        if above.limit(1).count():
-            seen(above, "ancestors")
-            tiles, statuses = together(reads), keep(statuses_of(together(reads)), "statuses")
-    bad = statuses.where("fatal").select("error").limit(1).collect()
-    if bad:
-        raise RuntimeError(bad[0]["error"])
-    del judged
+    reader.resolve(wanted, options.gap_fill)
+    statuses = reader.statuses()
+    bad = keep(gapfill.refused(wanted, statuses, KEYS, options.gap_fill), "refused")
+    if bad.limit(1).count():
+        said = bad.select(*KEYS, F.col("error").alias("said"))
+        outcomes = keep(outcomes.join(said, KEYS, "left").select(*KEYS, "top", F.when(F.col("said").isNotNull(), "fatal").otherwise(F.col("outcome")).alias("outcome"), F.when(F.col("said").isNull(), F.col("zoom")).alias("zoom"), F.coalesce("said", "error").alias("error")), "outcomes")
+        plan, wanted = (keep(df.join(bad.select(*KEYS), KEYS, "left_anti"), "able") for df in (plan, wanted))
+    chunks = keep(layout.chunks(plan.drop("chunk_rows", "chunk_cols"), options.chunk), "chunks")
 
     resolved = keep(gapfill.provenance(wanted, statuses, options.gap_fill), "resolved")
-    drawn = gapfill.pixels(resolved, tiles)
+    drawn = gapfill.pixels(resolved, reader.tiles())
     placed = layout.placed(drawn.join(chunks.select("aoi_id", "chunk_row", "chunk_col", "cx0", "cy0", "cx1", "cy1"), ["aoi_id", "chunk_row", "chunk_col"]))
-    files = keep(render.stitched(chunks, placed, spans), "files")
+    files = keep(render.stitched(chunks, placed, spans, options.chunk), "files")
     overviews = keep(render.overviews(files, plan), "overviews")
     stats = keep(plan.select(*KEYS).join(gapfill.stats(resolved, KEYS), KEYS, "left").join(skipped, KEYS, "left").na.fill(0).na.fill(True), "stats")
-    network = together(reads, ("requests", "bytes")).agg(F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
-    return Run(outcomes, tries, plan, chunks, resolved, stats, files, overviews, network)
-
-
-def together(reads: list[DataFrame], columns: tuple[str, ...] = ("z", "x", "y", "status", "error", "fatal", "width", "height", "data")) -> DataFrame:
-    out = reads[0].select(*columns)
-    for part in reads[1:]:
-        out = out.union(part.select(*columns))
-    return out.dropDuplicates(["z", "x", "y"]) if "z" in columns else out
-
-
-def statuses_of(tiles: DataFrame) -> DataFrame:
-    return quality.judged(tiles, measure=False).select("z", "x", "y", "status", "error", "fatal")
+    return Run(outcomes, tries, plan, chunks, resolved, stats, files, overviews, reader.network())
 
 
 def metadata(run: Run, aoi_id: int, target: dict, options: RunOptions, files: list[dict], overview: dict | None, elapsed: float, version: str) -> dict:

@@ -7,15 +7,19 @@ from the formulas, for another engine, and share no code with the operators.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.functions import labels
+from tilespark.functions import labels, settings
 from tilespark.functions import mercator as m
 from tilespark.operators import clip, gapfill, quality, render, zoom
 from tilespark.plans import layout
 from tilespark.plans.store import keep
-from tilespark.sources import geojson, images, synthetic, targets
+from tilespark.sources import geojson, http, images, synthetic, targets
 
 ZOOMS = (3, 9, 15, 19, 23)
 
@@ -231,28 +235,15 @@ def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = lambda n, wrong, good: F.when(k % 23 == n, wrong).otherwise(good)
     return table(spark, sf_dir, "part").select(
         k.alias("id"), odd(1, 24, k % 24).cast("int").alias("max_zoom"), odd(2, 25, 0).cast("int").alias("min_zoom"), odd(3, 0, k % 100 + 1).cast("int").alias("quality"), odd(4, 65, k % 64 + 1).cast("int").alias("workers"),
-        odd(5, 0, k + 1).cast("long").alias("max_tiles"), odd(6, 255, 256 + k % 1000).cast("int").alias("chunk"), odd(7, 1.5, (k % 10 + 1) / 10.0).cast("double").alias("coverage"), odd(8, -0.1, 0.2).cast("double").alias("detail"), odd(9, "http://h/{z}/{x}", "http://h/{z}/{x}/{y}").alias("url"),
+        odd(5, 0, k + 1).cast("long").alias("max_tiles"), F.when(k % 23 == 6, 255).when(k % 23 == 10, 16384).otherwise(256 + k % 1000).cast("int").alias("chunk"), odd(7, 1.5, (k % 10 + 1) / 10.0).cast("double").alias("coverage"), odd(8, -0.1, 0.2).cast("double").alias("detail"), odd(9, "http://h/{z}/{x}", "http://h/{z}/{x}/{y}").alias("url"), F.when(k % 23 == 10, "webp").otherwise("png").alias("format"),
     )
 
 
 @query("""SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 23 WHEN 1 THEN '-zoom must be 0-23' WHEN 2 THEN '-min-zoom must be between 0 and -zoom' WHEN 3 THEN '-q must be 1-100' WHEN 4 THEN '-j must be 1-64' WHEN 5 THEN '-max-tiles must be positive'
- WHEN 6 THEN '-chunk must be at least 256' WHEN 7 THEN '-coverage must be in (0, 1]' WHEN 8 THEN '-detail must be >= 0' WHEN 9 THEN '-url must contain {z}, {x} and {y}' END AS error FROM part""")
+ WHEN 6 THEN '-chunk must be at least 256' WHEN 7 THEN '-coverage must be in (0, 1]' WHEN 8 THEN '-detail must be >= 0' WHEN 9 THEN '-url must contain {z}, {x} and {y}' WHEN 10 THEN '-chunk exceeds the longest side of the format' END AS error FROM part""")
 def settings_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that each row of settings breaks."""
-    rows = run_settings(spark, sf_dir)
-    c = F.col
-    error = (
-        F.when(~c("max_zoom").between(0, 23), "-zoom must be 0-23")
-        .when((c("min_zoom") < 0) | (c("min_zoom") > c("max_zoom")), "-min-zoom must be between 0 and -zoom")
-        .when(~c("quality").between(1, 100), "-q must be 1-100")
-        .when(~c("workers").between(1, 64), "-j must be 1-64")
-        .when(c("max_tiles") < 1, "-max-tiles must be positive")
-        .when(c("chunk") < m.TILE, f"-chunk must be at least {m.TILE}")
-        .when((c("coverage") <= 0) | (c("coverage") > 1), "-coverage must be in (0, 1]")
-        .when(c("detail") < 0, "-detail must be >= 0")
-        .when(~(F.contains("url", F.lit("{z}")) & F.contains("url", F.lit("{x}")) & F.contains("url", F.lit("{y}"))), "-url must contain {z}, {x} and {y}")
-    )
-    return rows.select("id", error.alias("error"))
+    """The first rule that each row of settings breaks, by the rules that runs are held to."""
+    return run_settings(spark, sf_dir).select("id", settings.error_column(**{c: F.col(c) for c in settings.DEFAULTS}).alias("error"))
 
 
 def geojson_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,16 +363,9 @@ def byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT CAST(l_orderkey AS BIGINT) AS k, CAST(l_linenumber AS INTEGER) AS nth, CAST(l_orderkey * l_orderkey * (CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN 997 ELSE 1000003 END) + l_linenumber AS BIGINT) AS n FROM lineitem)
-SELECT k, nth, CASE WHEN n >= 1073741824 THEN format('{:.2f} GB', n / 1073741824e0) WHEN n >= 1048576 THEN format('{:.1f} MB', n / 1048576e0) WHEN n >= 1024 THEN CAST(CAST(round(n / 1024e0) AS BIGINT) AS VARCHAR) || ' KB' ELSE n || ' B' END AS size FROM l WHERE n % 512 <> 0""")
+SELECT k, nth, CASE WHEN n >= 1073741824 THEN format('{:.2f} GB', n / 1073741824e0) WHEN n >= 1048576 THEN format('{:.1f} MB', n / 1048576e0) WHEN n >= 1024 THEN CAST(CAST(round_even(n / 1024e0, 0) AS BIGINT) AS VARCHAR) || ' KB' ELSE n || ' B' END AS size FROM l""")
 def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without ties, which the oracle leaves out; ``human_bytes_all`` has them."""
-    return byte_counts(spark, sf_dir).where("n % 512 <> 0").select("k", "nth", labels.human_bytes(F.col("n")).alias("size"))
-
-
-@query()
-def human_bytes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row, ties too; held against plain Python in the tests."""
-    return byte_counts(spark, sf_dir).select("k", "nth", "n", labels.human_bytes(F.col("n")).alias("size"))
+    return byte_counts(spark, sf_dir).select("k", "nth", labels.human_bytes(F.col("n")).alias("size"))
 
 
 @query("""WITH l AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CASE n_nationkey % 6 WHEN 0 THEN 'a.webp' WHEN 1 THEN 'd.x/b.JPG' WHEN 2 THEN 'c.jpeg' WHEN 3 THEN 'e.png' WHEN 4 THEN 'd.x/noext' ELSE 'f.tif' END AS path FROM nation)
@@ -399,23 +383,21 @@ def world_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(spark, sf_dir, "nation", "n_nationkey", (19,)).select("aoi_id", images.world_file(F.col("x0"), F.col("y0"), F.col("z")).alias("body"))
 
 
-@query("""WITH a AS (SELECT CAST(event_id AS BIGINT) AS id, n, CASE (event_id * 31 + n * n * 17) % 7 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 403 ELSE 429 END AS code FROM events, (SELECT unnest([0, 1, 2, 3, 4]) AS n)),
-f AS (SELECT id, min(CASE WHEN code <> 429 THEN n END) AS stop FROM a GROUP BY id)
+@query("""WITH a AS (SELECT CAST(event_id AS BIGINT) AS id, n, CASE (event_id * 31 + n * n * 17) % 7 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 403 WHEN 3 THEN 503 ELSE 429 END AS code,
+  CASE (event_id + n) % 5 WHEN 0 THEN 7e0 WHEN 1 THEN 30e0 ELSE 0e0 END AS asked FROM events, (SELECT unnest([0, 1, 2, 3, 4]) AS n)),
+f AS (SELECT id, min(CASE WHEN code NOT IN (429, 503) THEN n END) AS stop FROM a GROUP BY id),
+w AS (SELECT a.id, sum(CASE WHEN asked > 0 THEN asked ELSE 0.2e0 * (1 << n) END) AS waited FROM a JOIN f ON a.id = f.id AND n < coalesce(stop, 4) GROUP BY a.id)
 SELECT f.id, CAST(coalesce(stop + 1, 5) AS INTEGER) AS requests, CASE WHEN stop IS NULL THEN 'failed' WHEN code = 200 THEN 'ok' WHEN code = 404 THEN 'missing' ELSE 'fatal' END AS outcome,
-  round(CASE coalesce(stop, 4) WHEN 0 THEN 0 WHEN 1 THEN 0.2 WHEN 2 THEN 0.6 WHEN 3 THEN 1.4 ELSE 3.0 END, 3)::DOUBLE AS least_wait FROM f LEFT JOIN a ON a.id = f.id AND a.n = f.stop""")
+  round(coalesce(waited, 0e0), 3) AS least_wait FROM f LEFT JOIN a ON a.id = f.id AND a.n = f.stop LEFT JOIN w ON w.id = f.id""")
 def retry_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The retry rules over a table of server answers, attempt by attempt."""
+    """What the client makes of servers' answers, of which some name a time to wait, with the least of its random waits."""
     k = F.col("event_id").cast("long")
-    most = labels.RETRIES + 1
-    code = lambda n: F.element_at(F.array(*[F.lit(c) for c in (200, 404, 403, 429, 429, 429, 429)]), ((k * 31 + n * n * 17) % 7 + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").select(k.alias("id"), F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda n: code(n)).alias("codes"))
-    stop = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda n: F.get("codes", n) != 429)
-    rows = rows.withColumn("stop", F.try_element_at(stop, F.lit(1)))
-    last = F.get("codes", F.col("stop"))
-    outcome = F.when(F.col("stop").isNull(), "failed").when(last == 200, "ok").when(last.isin(404, 204), "missing").otherwise("fatal")
-    requests = F.coalesce(F.col("stop") + 1, F.lit(most)).cast("int")
-    waits = [sum(labels.wait_bounds(a)[0] for a in range(1, n)) for n in range(1, most + 1)]
-    return rows.select("id", requests.alias("requests"), outcome.alias("outcome"), F.round(F.element_at(F.array(*[F.lit(float(w)) for w in waits]), requests), 3).alias("least_wait"))
+    nth = F.sequence(F.lit(0), F.lit(labels.RETRIES))
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    codes = F.transform(nth, lambda n: pick((200, 404, 403, 503, 429, 429, 429), (k * 31 + n * n * 17) % 7))
+    asked = F.transform(nth, lambda n: pick(("7", " 90 ", "soon", "0", None), (k + n) % 5))
+    played = http.outcomes(table(spark, sf_dir, "events").select(k.alias("id"), codes.alias("codes"), asked.alias("asked")), lambda *a: labels.wait_bounds(*a)[0])
+    return played.select("id", "requests", "outcome", F.round("waited", 3).alias("least_wait"))
 
 
 # Zoom selection, on a table of sample outcomes.
@@ -444,32 +426,32 @@ firsts AS (SELECT aoi_id, z, x, y, min(r) AS r, min(c) AS c FROM cand GROUP BY A
 samples AS (SELECT aoi_id, z, x, y, 3 * (dense_rank() OVER (PARTITION BY aoi_id, z ORDER BY r) - 1) + dense_rank() OVER (PARTITION BY aoi_id, z ORDER BY c) - 1 AS nth FROM firsts),
 seen AS (SELECT *, (aoi_id * 7 + z * 5 + nth * 3) % 10 AS h, aoi_id % 7 + 13 AS ends, CASE WHEN aoi_id % 6 = 4 AND z >= 15 THEN 'timed out' WHEN aoi_id % 6 = 5 AND z = aoi_id % 7 + 13 AND nth = 0 THEN 'refused' WHEN aoi_id % 6 = 3 AND (aoi_id * 7 + z * 5 + nth * 3) % 10 < 2 THEN 'timed out' END AS error FROM samples),
 tal AS (SELECT aoi_id, z, count(*) AS sampled, count(*) FILTER (error IS NULL AND z <= ends) AS ok, count(*) FILTER (error IS NULL AND z > ends AND h < 5) AS missing, count(*) FILTER (error IS NULL AND z > ends AND h >= 5) AS placeholder, count(error) AS failed,
-  count(*) FILTER (error IS NULL AND (z = ends AND h >= 6 OR z < ends AND h >= 2)) AS sharp, count(*) FILTER (error IS NULL AND z = ends AND h < 6) AS upsampled, coalesce(bool_or(error = 'refused'), false) AS fatal FROM seen GROUP BY aoi_id, z)
+  count(*) FILTER (error IS NULL AND (z = ends AND h >= 6 OR z < ends AND h >= 2)) AS sharp, count(*) FILTER (error IS NULL AND z = ends AND h < 6) AS upsampled, coalesce(bool_or(error = 'refused'), false) AS fatal, arg_max(error, nth) FILTER (error IS NOT NULL) AS last_error, arg_min(error, nth) FILTER (error = 'refused') AS fatal_error FROM seen GROUP BY aoi_id, z)
 """
 
 
-@query(f"WITH {SQL_PROBED} SELECT aoi_id, z, sampled, ok, missing, placeholder, failed, sharp, upsampled, fatal FROM tal")
+@query(f"WITH {SQL_PROBED} SELECT aoi_id, z, sampled, ok, missing, placeholder, failed, sharp, upsampled, fatal, last_error, fatal_error FROM tal")
 def probe_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zoom.tally(probed(spark, sf_dir)[1], ["aoi_id"]).drop("last_error")
+    return zoom.tally(probed(spark, sf_dir)[1], ["aoi_id"])
 
 
 SQL_OUTCOME = """
 tops AS (SELECT aoi_id, max(CASE WHEN tiles <= 2000 THEN z END) AS top FROM tiled GROUP BY aoi_id),
 lev AS (SELECT tal.*, top, (top - z) // 3 AS batch, NOT fatal AND ok >= 0.5 * sampled AND upsampled <= sharp AS accepted FROM tal JOIN tops USING (aoi_id) WHERE z <= top),
-events_ AS (SELECT aoi_id, batch * 10 AS pos, 'unreachable' AS outcome, NULL AS zoom FROM lev GROUP BY aoi_id, batch HAVING bool_and(NOT fatal AND failed = sampled)
-  UNION ALL SELECT aoi_id, batch * 10 + 1 + (top - z) % 3, CASE WHEN fatal THEN 'fatal' ELSE 'ok' END, CASE WHEN NOT fatal THEN z END FROM lev WHERE fatal OR accepted),
+events_ AS (SELECT aoi_id, batch * 10 AS pos, 'unreachable' AS outcome, NULL AS zoom, arg_min(last_error, z) AS error FROM lev GROUP BY aoi_id, batch HAVING bool_and(NOT fatal AND failed = sampled)
+  UNION ALL SELECT aoi_id, batch * 10 + 1 + (top - z) % 3, CASE WHEN fatal THEN 'fatal' ELSE 'ok' END, CASE WHEN NOT fatal THEN z END, fatal_error FROM lev WHERE fatal OR accepted),
 firstev AS (SELECT aoi_id, arg_min(outcome, pos) AS outcome, min(pos) AS pos FROM events_ GROUP BY aoi_id),
-chosen AS (SELECT tops.aoi_id, top, CASE WHEN top IS NULL THEN 'too_large' ELSE coalesce(firstev.outcome, 'none') END AS outcome, events_.zoom FROM tops LEFT JOIN firstev USING (aoi_id) LEFT JOIN events_ ON events_.aoi_id = tops.aoi_id AND events_.pos = firstev.pos)
+chosen AS (SELECT tops.aoi_id, top, CASE WHEN top IS NULL THEN 'too_large' ELSE coalesce(firstev.outcome, 'none') END AS outcome, events_.zoom, events_.error FROM tops LEFT JOIN firstev USING (aoi_id) LEFT JOIN events_ ON events_.aoi_id = tops.aoi_id AND events_.pos = firstev.pos)
 """
 
 
 def decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     levels, some = probed(spark, sf_dir)
-    tallies = zoom.tally(some, ["aoi_id"])
+    levels, tallies = keep(levels, "levels"), keep(zoom.tally(some, ["aoi_id"]), "tallies")
     return levels, tallies, zoom.outcomes(tallies, layout.budget_top(levels, ["aoi_id"], OPTIONS.max_tiles), ["aoi_id"], OPTIONS)
 
 
-@query(f"WITH {SQL_PROBED}, {SQL_OUTCOME} SELECT aoi_id, CAST(top AS INTEGER) AS top, outcome, CAST(zoom AS INTEGER) AS zoom FROM chosen")
+@query(f"WITH {SQL_PROBED}, {SQL_OUTCOME} SELECT aoi_id, CAST(top AS INTEGER) AS top, outcome, CAST(zoom AS INTEGER) AS zoom, error FROM chosen")
 def zoom_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir)[2]
 
@@ -641,34 +623,59 @@ def world_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.ground(table(spark, sf_dir, "events").select(k.alias("id"), (k * 7919 % 2000003).alias("gx"), (k * 104729 % 3000017).alias("gy"))).drop("gx", "gy")
 
 
-def pixel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 64 x 64 sample block for each nation: grey fillers, coloured or bright ones, by key."""
-    k = F.col("n_nationkey").cast("long")
-    rows = table(spark, sf_dir, "nation").select(k.alias("aoi_id"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    h = (F.col("x") * 7 + F.col("y") * 13 + F.col("aoi_id") * 29) % 100
-    grey = F.when(h < F.col("aoi_id"), 110).otherwise(F.lit(140) + F.col("aoi_id") * 5 + h % 3)
-    tint = F.when((F.col("aoi_id") % 4 == 3) & (h < 50), 40).otherwise(h % 5)
-    return rows.select("aoi_id", "x", "y", grey.cast("int").alias("r"), (grey + tint).cast("int").alias("g"), grey.cast("int").alias("b"))
+def block(key: int, width: int = 64, height: int = 64) -> np.ndarray:
+    """An image for a key: nearly grey, with darker, coloured or bright pixels."""
+    y, x = np.mgrid[:height, :width]
+    h = (x * 7 + y * 13 + key * 29) % 100
+    grey = np.minimum(np.where(h < key, 110, 140 + key * 5 + h % 3), 255)
+    green = np.minimum(grey + (np.where(h < 50, 40, h % 5) if key % 4 == 3 else h % 5), 255)
+    return np.dstack([grey, green, grey, np.full_like(grey, 255)]).astype(np.uint8)
+
+
+def drawn(keys: DataFrame, image: Callable[[int], np.ndarray]) -> DataFrame:
+    """id, width, height, data: an image for each key."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                made = image(key)
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([made.shape[1]], pa.int32()), pa.array([made.shape[0]], pa.int32()), pa.array([made.tobytes()], pa.binary())], names=["id", "width", "height", "data"])
+
+    return keys.select(F.col(keys.columns[0]).cast("long").alias("id")).mapInArrow(draw, "id long, width int, height int, data binary")
+
+
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey")
+
+
+def sampled_block(key: int) -> np.ndarray:
+    """An image whose every fourth pixel either way is a block's; the others must not count."""
+    out = np.full((256, 256, 4), (250, 10, 90, 255), np.uint8)
+    out[::4, ::4] = block(key)
+    return out
 
 
 SQL_BLOCKS = """
 pts AS (SELECT CAST(n_nationkey AS BIGINT) AS aoi_id, x, y, (x * 7 + y * 13 + n_nationkey * 29) % 100 AS h FROM nation, (SELECT unnest(generate_series(0, 63)) AS x), (SELECT unnest(generate_series(0, 63)) AS y)),
-base AS (SELECT aoi_id, x, y, CAST(CASE WHEN h < aoi_id THEN 110 ELSE 140 + aoi_id * 5 + h % 3 END AS INTEGER) AS r, CAST(CASE WHEN aoi_id % 4 = 3 AND h < 50 THEN 40 ELSE h % 5 END AS INTEGER) AS tint FROM pts),
-blocks AS (SELECT aoi_id, x, y, r, r + tint AS g, r AS b FROM base),
+base AS (SELECT aoi_id, x, y, CAST(least(255, CASE WHEN h < aoi_id THEN 110 ELSE 140 + aoi_id * 5 + h % 3 END) AS INTEGER) AS r, CAST(CASE WHEN aoi_id % 4 = 3 AND h < 50 THEN 40 ELSE h % 5 END AS INTEGER) AS tint FROM pts),
+blocks AS (SELECT aoi_id, x, y, r, least(255, r + tint) AS g, r AS b FROM base),
 hist AS (SELECT aoi_id, (r + g + b) // 3 AS level, count(*) AS n FROM blocks WHERE greatest(r, g, b) - least(r, g, b) <= 8 GROUP BY ALL)
 """
+SQL_FILLER = """
+tot AS (SELECT aoi_id, count(*) AS samples FROM blocks GROUP BY aoi_id), top AS (SELECT aoi_id, sum(n) AS grey, arg_max(level, n * 1000 - level) AS mode FROM hist GROUP BY aoi_id),
+near AS (SELECT h.aoi_id, sum(n) AS near FROM hist h JOIN top t ON h.aoi_id = t.aoi_id AND abs(level - mode) <= 8 GROUP BY h.aoi_id),
+filler AS (SELECT tot.aoi_id, samples, CAST(coalesce(grey, 0) AS BIGINT) AS grey, CAST(mode AS INTEGER) AS mode, CAST(coalesce(near, 0) AS BIGINT) AS near, coalesce(grey >= 0.97 * samples AND mode BETWEEN 150 AND 235 AND near >= 0.75 * samples, false) AS placeholder FROM tot LEFT JOIN top USING (aoi_id) LEFT JOIN near USING (aoi_id))
+"""
 
 
 @query(f"WITH {SQL_BLOCKS} SELECT aoi_id, CAST(level AS INTEGER) AS level, n, CAST(row_number() OVER (PARTITION BY aoi_id ORDER BY n DESC, level) AS INTEGER) AS nth FROM hist")
 def grey_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.nth_level(pixel_blocks(spark, sf_dir), ["aoi_id"])
+    return quality.facts(drawn(nations(spark, sf_dir), sampled_block), quality.ranked_levels, "level int, n long, nth int").withColumnRenamed("id", "aoi_id")
 
 
-@query(f"""WITH {SQL_BLOCKS}, tot AS (SELECT aoi_id, count(*) AS samples FROM blocks GROUP BY aoi_id), top AS (SELECT aoi_id, sum(n) AS grey, arg_max(level, n * 1000 - level) AS mode FROM hist GROUP BY aoi_id),
-near AS (SELECT h.aoi_id, sum(n) AS near FROM hist h JOIN top t ON h.aoi_id = t.aoi_id AND abs(level - mode) <= 8 GROUP BY h.aoi_id)
-SELECT tot.aoi_id, samples, CAST(coalesce(grey, 0) AS BIGINT) AS grey, CAST(mode AS INTEGER) AS mode, CAST(coalesce(near, 0) AS BIGINT) AS near, coalesce(grey >= 0.97 * samples AND mode BETWEEN 150 AND 235 AND near >= 0.75 * samples, false) AS placeholder FROM tot LEFT JOIN top USING (aoi_id) LEFT JOIN near USING (aoi_id)""")
+@query(f"WITH {SQL_BLOCKS}, {SQL_FILLER} SELECT * FROM filler")
 def placeholder_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.filler_by_key(pixel_blocks(spark, sf_dir), ["aoi_id"])
+    return quality.facts(drawn(nations(spark, sf_dir), sampled_block), lambda rgb: [quality.filler_facts(rgb)], "samples long, grey long, mode int, near long, placeholder boolean").withColumnRenamed("id", "aoi_id")
 
 
 def energies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -676,64 +683,147 @@ def energies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT CAST(l_orderkey AS BIGINT) AS k, CAST(l_linenumber AS INTEGER) AS nth, l_quantity / 10 AS top, l_discount * 100 AS next, l_tax * 300 AS variance FROM lineitem)
-SELECT k, nth, CASE WHEN variance < 4 THEN 'inconclusive' WHEN next < 2 AND variance >= 16 THEN 'upsampled' WHEN next < 2 THEN 'inconclusive' WHEN top < 0.2e0 * next THEN 'upsampled' ELSE 'native' END AS verdict FROM t WHERE abs(top - 0.2e0 * next) > 1e-9""")
+SELECT k, nth, CASE WHEN variance < 4 THEN 'inconclusive' WHEN next < 2 AND variance >= 16 THEN 'upsampled' WHEN next < 2 THEN 'inconclusive' WHEN top / next < 0.2e0 THEN 'upsampled' ELSE 'native' END AS verdict FROM t""")
 def sharpness_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without ties, which the oracle leaves out; ``sharpness_verdict_all`` has them."""
-    return energies(spark, sf_dir).where(F.abs(F.col("top") - 0.2 * F.col("next")) > 1e-9).select("k", "nth", quality.verdict(F.col("top"), F.col("next"), F.col("variance")).alias("verdict"))
+    return energies(spark, sf_dir).select("k", "nth", quality.verdict(F.col("top"), F.col("next"), F.col("variance")).alias("verdict"))
 
 
-@query()
-def sharpness_verdict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row, ties too; held against plain Python in the tests."""
-    return energies(spark, sf_dir).select("k", "nth", "top", "next", "variance", quality.verdict(F.col("top"), F.col("next"), F.col("variance")).alias("verdict"))
+@query(f"WITH {SQL_BLOCKS} SELECT aoi_id, CAST(x // 2 AS INTEGER) AS x, CAST(y // 2 AS INTEGER) AS y, sum(g) / 4e0 AS g FROM blocks WHERE x < 62 GROUP BY aoi_id, x // 2, y // 2")
+def half_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves of the green of images of 63 columns: the odd one goes."""
 
+    def rows(rgb: np.ndarray) -> list[tuple]:
+        half = quality.halved(rgb[..., 1].astype(np.float64))
+        return [(x, y, float(half[y, x])) for y, x in np.ndindex(*half.shape)]
 
-@query(f"WITH {SQL_BLOCKS} SELECT aoi_id, x // 2 AS x, y // 2 AS y, sum(g) / 4e0 AS g FROM blocks WHERE x < 62 GROUP BY aoi_id, x // 2, y // 2")
-def half_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.half_table(pixel_blocks(spark, sf_dir).where("x < 63"), ["aoi_id"], "g")
+    return quality.facts(drawn(nations(spark, sf_dir), lambda k: block(k, 63)), rows, "x int, y int, g double").withColumnRenamed("id", "aoi_id")
+
+
+SQL_LUMA = "luma AS (SELECT aoi_id, x, y, r * 0.299e0 + g * 0.587e0 + b * 0.114e0 AS v FROM blocks)"
 
 
-@query(f"WITH {SQL_BLOCKS} SELECT aoi_id, round(avg(g), 6) AS mean, round(var_pop(g), 6) AS variance FROM blocks GROUP BY aoi_id")
+@query(f"WITH {SQL_BLOCKS}, {SQL_LUMA} SELECT aoi_id, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance FROM luma GROUP BY aoi_id")
 def luminance_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.variance_table(pixel_blocks(spark, sf_dir), ["aoi_id"], "g").select("aoi_id", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+    def rows(rgb: np.ndarray) -> list[tuple]:
+        luma = quality.luminance(rgb)
+        return [(float(luma.mean()), quality.variance_of(luma))]
 
+    found = quality.facts(drawn(nations(spark, sf_dir), block), rows, "mean double, variance double")
+    return found.select(F.col("id").alias("aoi_id"), F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
-@query(f"WITH {SQL_BLOCKS} SELECT aoi_id, x // 5 AS bx, y // 5 AS by, CAST(sum(r) // count(*) AS INTEGER) AS r, CAST(sum(g) // count(*) AS INTEGER) AS g, CAST(sum(b) // count(*) AS INTEGER) AS b FROM blocks GROUP BY aoi_id, x // 5, y // 5")
+
+SCALE = 0.37
+
+
+@query(f"""WITH {SQL_BLOCKS}, cells AS (SELECT i, CAST(floor(i / {SCALE}e0) AS BIGINT) AS a, least(greatest(CAST(floor((i + 1) / {SCALE}e0) AS BIGINT), CAST(floor(i / {SCALE}e0) AS BIGINT) + 1), 64) AS e FROM (SELECT unnest(generate_series(0, {int(64 * SCALE) - 1})) AS i)),
+spread AS (SELECT i, unnest(generate_series(a, e - 1)) AS p FROM cells)
+SELECT aoi_id, CAST(cx.i AS INTEGER) AS x, CAST(cy.i AS INTEGER) AS y, CAST(sum(r) // count(*) AS INTEGER) AS r, CAST(sum(g) // count(*) AS INTEGER) AS g, CAST(sum(b) // count(*) AS INTEGER) AS b FROM blocks JOIN spread cx ON cx.p = blocks.x JOIN spread cy ON cy.p = blocks.y GROUP BY aoi_id, cx.i, cy.i""")
 def overview_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.overview_table(pixel_blocks(spark, sf_dir), ["aoi_id"], 5)
+    """What images give to an overview of 0.37 of their size."""
+
+    def rows(rgb: np.ndarray) -> list[tuple]:
+        side = int(64 * SCALE)
+        means = render.block_means(np.dstack([rgb, rgb[..., :1]]), 0, 0, SCALE, side, side)[2]
+        return [(x, y, *means[y, x, :3].tolist()) for y, x in np.ndindex(*means.shape[:2])]
+
+    return quality.facts(drawn(nations(spark, sf_dir), block), rows, "x int, y int, r int, g int, b int").withColumnRenamed("id", "aoi_id")
 
 
-def some_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tile at each of three zooms about the native one for each region."""
-    k = F.col("r_regionkey").cast("long")
-    rows = table(spark, sf_dir, "region").select(k.alias("k"), F.explode(F.array(F.lit(17), F.lit(18), F.lit(20))).alias("z"))
-    return rows.select("z", F.shiftright((F.lit(4800000) + F.col("k") * 64), 3).alias("x18"), F.lit(400000).alias("y18"), "k").select("z", F.when(F.col("z") == 17, F.shiftright("x18", 1)).when(F.col("z") == 20, F.col("x18") * 4).otherwise(F.col("x18")).alias("x"), F.when(F.col("z") == 17, F.lit(200000)).when(F.col("z") == 20, F.lit(1600000)).otherwise(F.lit(400000)).alias("y")).select("z", F.col("x").cast("long"), F.col("y").cast("long"))
+def sql_lost(fine: str, coarse: str, side: int) -> str:
+    """Mean squared distance of a picture from the bilinear one that its half gives, border left out."""
+    place = lambda v: f"greatest(0, least(CAST(trunc(({v} + 0.5e0) / 2 - 0.5e0) AS BIGINT), {side // 2 - 2}))"
+    corner = lambda name, dy, dx: f"JOIN {coarse} {name} ON {name}.aoi_id = p.aoi_id AND {name}.y = p.y0 + {dy} AND {name}.x = p.x0 + {dx}"
+    return f"""(SELECT p.aoi_id, avg(power(p.v - ((a.v * (1 - fx) + b.v * fx) * (1 - fy) + (c.v * (1 - fx) + d.v * fx) * fy), 2)) AS e
+  FROM (SELECT *, (x + 0.5e0) / 2 - 0.5e0 - x0 AS fx, (y + 0.5e0) / 2 - 0.5e0 - y0 AS fy FROM (SELECT *, {place('x')} AS x0, {place('y')} AS y0 FROM {fine} WHERE x BETWEEN 1 AND {side - 2} AND y BETWEEN 1 AND {side - 2})) p
+  {corner('a', 0, 0)} {corner('b', 0, 1)} {corner('c', 1, 0)} {corner('d', 1, 1)} GROUP BY p.aoi_id)"""
 
 
-@query()
+@query(f"""WITH {SQL_BLOCKS.replace("hist AS (SELECT aoi_id, (r + g + b) // 3 AS level, count(*) AS n FROM blocks WHERE", "hist AS (SELECT aoi_id, (r + g + b) // 3 AS level, count(*) AS n FROM blocks WHERE x % 4 = 0 AND y % 4 = 0 AND")}, {SQL_FILLER.replace("count(*) AS samples FROM blocks", "count(*) AS samples FROM blocks WHERE x % 4 = 0 AND y % 4 = 0")}, {SQL_LUMA},
+half AS (SELECT aoi_id, x // 2 AS x, y // 2 AS y, avg(v) AS v FROM luma GROUP BY aoi_id, x // 2, y // 2), quarter AS (SELECT aoi_id, x // 2 AS x, y // 2 AS y, avg(v) AS v FROM half GROUP BY aoi_id, x // 2, y // 2),
+energy AS (SELECT f.aoi_id, t.e AS top, n.e AS next, v.variance FROM filler f JOIN {sql_lost('luma', 'half', 64)} t ON t.aoi_id = f.aoi_id JOIN {sql_lost('half', 'quarter', 32)} n ON n.aoi_id = f.aoi_id JOIN (SELECT aoi_id, var_pop(v) AS variance FROM luma GROUP BY aoi_id) v ON v.aoi_id = f.aoi_id WHERE NOT placeholder)
+SELECT f.aoi_id, CASE WHEN placeholder THEN 'placeholder' ELSE 'ok' END AS status, round(top, 6) AS top, round(next, 6) AS next, round(variance, 6) AS variance,
+  CASE WHEN variance < 4 THEN 'inconclusive' WHEN next < 2 AND variance >= 16 THEN 'upsampled' WHEN next < 2 THEN 'inconclusive' WHEN top / next < 0.2e0 THEN 'upsampled' WHEN top IS NOT NULL THEN 'native' END AS verdict FROM filler f LEFT JOIN energy e ON e.aoi_id = f.aoi_id""")
 def tile_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measured on whole synthetic tiles; held against plain NumPy in the tests."""
-    return quality.judged(synthetic.tiles(some_tiles(spark, sf_dir), 18, "upsample"))
+    """Whole judgements: filler or not, energies of two octaves, variance, verdict."""
+    tiles = drawn(nations(spark, sf_dir), block).select(F.lit(9).alias("z"), F.col("id").alias("x"), F.lit(0).cast("long").alias("y"), F.lit("ok").alias("status"), "width", "height", "data")
+    return quality.judged(tiles).select(F.col("x").alias("aoi_id"), "status", *[F.round(c, 6).alias(c) for c in ("top", "next", "variance")], "verdict")
+
+
+# Tiles by formula, for stretching and stitching.
+
+
+def formula_tile(z: int, x: int, y: int) -> np.ndarray:
+    py, px = np.mgrid[:256, :256]
+    return np.dstack([(px * 3 + py * 5 + x * 7 + y * 11 + z) % 256, (px * py + x + y) % 256, (px * px + py + z * 5) % 256, np.full((256, 256), 255)]).astype(np.uint8)
 
 
-@query()
+def sql_formula(z: str, x: str, y: str, px: str, py: str) -> tuple[str, str, str]:
+    return f"(({px}) * 3 + ({py}) * 5 + ({x}) * 7 + ({y}) * 11 + {z}) % 256", f"(({px}) * ({py}) + ({x}) + ({y})) % 256", f"(({px}) * ({px}) + ({py}) + {z} * 5) % 256"
+
+
+def formula_tiles(wanted: DataFrame) -> DataFrame:
+    """z, x, y, status, width, height, data of distinct tiles."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                row = (r["z"], r["x"], r["y"], "ok", 256, 256, formula_tile(r["z"], r["x"], r["y"]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["z", "x", "y", "status", "width", "height", "data"])
+
+    return wanted.select(F.col("z").cast("int"), F.col("x").cast("long"), F.col("y").cast("long")).distinct().mapInArrow(draw, synthetic.TILE_SCHEMA)
+
+
+def sql_stretched() -> str:
+    side = lambda nth, i: f"(({nth} % (1 << up)) * (256e0 / (1 << up)) + ({i} + 0.5e0) * ((256e0 / (1 << up)) / 256) - 0.5e0)"
+    value = lambda k: " + ".join(f"({sql_formula('(10 - up)', '(x >> up)', '(y >> up)', px, py)[k]}) * {wx} * {wy}" for px, wx in (("lx", "(1 - fx)"), ("hx", "fx")) for py, wy in (("ly", "(1 - fy)"), ("hy", "fy")))
+    return f"""want AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey * 37 % 1024 AS BIGINT) AS x, CAST(n_nationkey * 91 % 1024 AS BIGINT) AS y, CAST(n_nationkey % 5 AS INTEGER) AS up FROM nation),
+at_ AS (SELECT *, {side('x', 'i')} AS sx, {side('y', 'j')} AS sy FROM want, (SELECT unnest(generate_series(0, 255, 17)) AS i), (SELECT unnest(generate_series(0, 255, 13)) AS j)),
+low AS (SELECT *, CASE WHEN sx < 0 THEN 0 ELSE least(CAST(trunc(sx) AS BIGINT), 255) END AS lx, CASE WHEN sy < 0 THEN 0 ELSE least(CAST(trunc(sy) AS BIGINT), 255) END AS ly FROM at_),
+part AS (SELECT *, CASE WHEN sx < 0 OR lx >= 255 THEN 0e0 ELSE sx - lx END AS fx, CASE WHEN sy < 0 OR ly >= 255 THEN 0e0 ELSE sy - ly END AS fy, least(lx + 1, 255) AS hx, least(ly + 1, 255) AS hy FROM low)
+SELECT k, CASE WHEN up = 0 THEN 'native' ELSE 'gapfill' END AS kind, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {', '.join(f'CAST(floor({value(c)} + 0.5e0) AS INTEGER) AS {n}' for c, n in enumerate('rgb'))} FROM part"""
+
+
+@query(f"WITH {sql_stretched()}")
 def gap_upscale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles past the native zoom, drawn from their nearest ancestors; held against plain NumPy in the tests."""
-    wanted = some_tiles(spark, sf_dir).where("z = 20")
-    ancestors = keep(gapfill.family(wanted).select(F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y")).where("z >= 18").distinct(), "ancestors")
-    tiles = keep(synthetic.tiles(ancestors, 18, "notfound"), "tiles")
-    resolved = gapfill.provenance(wanted, tiles.withColumn("error", F.lit(None).cast("string")))
-    return gapfill.pixels(resolved, tiles).select("z", "x", "y", "kind", "from_zoom", F.sha2("image", 256).alias("sha256"))
-
-
-@query()
-def stitch_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of small areas, stitched from synthetic tiles and encoded; held against plain NumPy in the tests."""
-    spots = m.around(places(spark, sf_dir, "region", "r_regionkey"), F.col("lat") / 2, F.col("lon") / 2, F.lit(150.0))
-    plan = m.tiled(m.windowed(spots.withColumn("z", F.lit(17)), F.col("z")))
-    chunks = layout.chunks(plan, 512)
-    wanted = layout.chunk_of(layout.tiles(plan), 512).select("aoi_id", "z", "x", "y", "chunk_row", "chunk_col")
-    tiles = synthetic.tiles(wanted, 17)
+    """Pixels of tiles that are drawn from their ancestors up to four levels above."""
+    k = F.col("n_nationkey").cast("long")
+    wanted = keep(table(spark, sf_dir, "nation").select(k.alias("k"), F.lit(10).alias("z"), (k * 37 % 1024).alias("x"), (k * 91 % 1024).alias("y")), "wanted")
+    lent = gapfill.family(wanted).where("up = k % 5").select(F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    tiles = keep(formula_tiles(lent), "tiles")
+    # What another tile's ancestor lends must not count here: each tile is resolved against its own.
+    statuses = gapfill.family(wanted).where("up = k % 5").select("k", F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    resolved = wanted.join(statuses.select("k", (F.lit(10) - F.col("z")).alias("up")), "k").select("k", F.lit(10).alias("z"), "x", "y", F.when(F.col("up") == 0, "native").otherwise("gapfill").alias("kind"), F.when(F.col("up") > 0, F.lit(10) - F.col("up")).cast("int").alias("from_zoom"))
+    images_ = gapfill.pixels(resolved, tiles).select(F.col("k").alias("id"), F.lit(256).alias("width"), F.lit(256).alias("height"), F.col("image").alias("data"))
+    found = quality.facts(images_, lambda rgb: [(i, j, *rgb[j, i].tolist()) for i in range(0, 256, 17) for j in range(0, 256, 13)], "i int, j int, r int, g int, b int")
+    return found.join(resolved.select(F.col("k").alias("id"), "kind"), "id").select(F.col("id").alias("k"), "kind", "i", "j", "r", "g", "b")
+
+
+def sql_stitched() -> str:
+    r, g, b = sql_formula("16", "(x // 256)", "(y // 256)", "x % 256", "y % 256")
+    return f"""spots AS (SELECT aoi_id, x, unnest(generate_series(CAST(ceil(y0 / 31e0) AS BIGINT) * 31, y1 - 1, 31)) AS y FROM (SELECT aoi_id, y0, y1, unnest(generate_series(CAST(ceil(x0 / 29e0) AS BIGINT) * 29, x1 - 1, 29)) AS x FROM wins)),
+hit AS (SELECT s.aoi_id, s.x, s.y, count(i.y) > 0 AS seen FROM spots s LEFT JOIN inside i ON i.aoi_id = s.aoi_id AND i.y = s.y AND i.from_x <= s.x AND i.to_x > s.x GROUP BY ALL)
+SELECT aoi_id, x, y, {', '.join(f'CAST(CASE WHEN seen THEN {v} ELSE 0 END AS INTEGER) AS {n}' for v, n in ((r, 'r'), (g, 'g'), (b, 'b'), ('255', 'a')))} FROM hit"""
+
+
+@query(f"WITH {SQL_EDGES}, {SQL_SPANS}, {sql_stitched()}")
+def stitch_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of the encoded, clipped chunks of suppliers' areas, decoded again."""
+    windows_, positions = polygons(spark, sf_dir)
+    plan, spans = keep(layout.grid(windows_, 512), "plan"), keep(clip.spans(clip.crossings(clip.edges(positions, ["aoi_id"]), windows_, ["aoi_id"]), ["aoi_id"]), "spans")
+    chunks = keep(layout.chunks(plan.drop("chunk_rows", "chunk_cols"), 512), "chunks")
+    wanted = keep(clip.kept(layout.chunk_of(layout.tiles(plan.drop("chunk_rows", "chunk_cols")), 512).select("aoi_id", "z", "x", "y", "chunk_row", "chunk_col"), spans, ["aoi_id"]), "wanted")
     placed = layout.placed(wanted.join(chunks.select("aoi_id", "chunk_row", "chunk_col", "cx0", "cy0", "cx1", "cy1"), ["aoi_id", "chunk_row", "chunk_col"]))
-    drawn = render.stitched(chunks, placed.join(tiles.select("z", "x", "y", F.col("data").alias("image")), ["z", "x", "y"]))
-    return drawn.select("aoi_id", "chunk_row", "chunk_col", "width", "height", "sha256", "bytes")
+    drawn_ = render.stitched(chunks, placed.join(formula_tiles(wanted).select("z", "x", "y", F.col("data").alias("image")), ["z", "x", "y"]), spans, 512)
+    files = drawn_.join(chunks.select("aoi_id", "chunk_row", "chunk_col", "cx0", "cy0"), ["aoi_id", "chunk_row", "chunk_col"]).select("aoi_id", "cx0", "cy0", "data")
+
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                image = images.from_png(r["data"])
+                left, top = -r["cx0"] % 29, -r["cy0"] % 31
+                some = image[top::31, left::29]
+                y, x = np.mgrid[: some.shape[0], : some.shape[1]]
+                columns = [np.full(x.size, r["aoi_id"]), r["cx0"] + left + 29 * x.ravel(), r["cy0"] + top + 31 * y.ravel()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), *(pa.array(some[..., c].ravel().astype(np.int32)) for c in range(4))], names=["aoi_id", "x", "y", "r", "g", "b", "a"])
+
+    return files.mapInArrow(pixels, "aoi_id long, x long, y long, r int, g int, b int, a int")

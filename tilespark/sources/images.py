@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from tilespark.functions import mercator as m
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+BAND_BYTES = 8 << 20
 #: Fixed value: the projection's well-known text, as GIS tools expect it.
-PROJECTION = (
-    'PROJCS["WGS_1984_Web_Mercator_Auxiliary_Sphere",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],'
-    'PROJECTION["Mercator_Auxiliary_Sphere"],PARAMETER["False_Easting",0.0],PARAMETER["False_Northing",0.0],PARAMETER["Central_Meridian",0.0],PARAMETER["Standard_Parallel_1",0.0],PARAMETER["Auxiliary_Sphere_Type",0.0],UNIT["Meter",1.0]]'
-)
+PROJECTION = 'PROJCS["WGS_1984_Web_Mercator_Auxiliary_Sphere",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Mercator_Auxiliary_Sphere"],PARAMETER["False_Easting",0.0],PARAMETER["False_Northing",0.0],PARAMETER["Central_Meridian",0.0],PARAMETER["Standard_Parallel_1",0.0],PARAMETER["Auxiliary_Sphere_Type",0.0],UNIT["Meter",1.0]]'
+
+
+class Unsupported(ValueError):
+    """A form of PNG that is read by Spark's image reader only."""
 
 
 def png(image: np.ndarray, level: int = 1) -> bytes:
@@ -31,9 +33,15 @@ def png(image: np.ndarray, level: int = 1) -> bytes:
     def part(kind: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    lines = np.zeros((height, 1 + 4 * width), np.uint8)
-    lines[:, 1:] = image.reshape(height, -1)
-    return SIGNATURE + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes(), level)) + part(b"IEND", b"")
+    # In bands, so that no second copy of a large canvas is made.
+    packer, packed, band = zlib.compressobj(level), [], max(1, BAND_BYTES // (4 * width + 1))
+    for at in range(0, height, band):
+        rows = image[at : at + band]
+        lines = np.zeros((len(rows), 1 + 4 * width), np.uint8)
+        lines[:, 1:] = rows.reshape(len(rows), -1)
+        packed.append(packer.compress(lines.tobytes()))
+    packed.append(packer.flush())
+    return b"".join([SIGNATURE, part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)), part(b"IDAT", b"".join(packed)), part(b"IEND", b"")])
 
 
 def from_png(data: bytes) -> np.ndarray:
@@ -51,7 +59,7 @@ def from_png(data: bytes) -> np.ndarray:
     width, height, depth, color, _, _, laced = struct.unpack(">IIBBBBB", head)
     step = {0: 1, 2: 3, 4: 2, 6: 4}.get(color)
     if depth != 8 or step is None or laced:
-        raise ValueError("unsupported PNG")
+        raise Unsupported("unsupported PNG")
     lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * step)
     out = np.zeros((height + 1, width + 1, step), np.uint8)
     for y in range(height):

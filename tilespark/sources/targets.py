@@ -8,15 +8,26 @@ from pyspark.sql import functions as F
 from tilespark.functions import mercator as m
 
 DEFAULT_RADIUS = 200.0
+#: What counts as white space at the ends of a target.
+WHITE = " \t\n\x0b\x0c\r\x85\xa0"
+#: Numbers as they are written: no suffixes for types, which a cast would take.
+NUMBER = r"^(?:[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?)|0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+)|(?i:nan))$"
+
+
+def trimmed(text: Column) -> Column:
+    return F.trim(text, F.lit(WHITE))
 
 
 def numbers(text: Column) -> Column:
     """The numbers of a list parted by commas, semicolons or spaces; null unless all fields are numbers and there is one."""
-    fields = F.filter(F.split(F.trim(text), "[,; ]+"), lambda s: s != "")
-    parsed = F.transform(fields, lambda s: s.try_cast("double"))
+    fields = F.filter(F.split(trimmed(text), "[,; ]+"), lambda s: s != "")
+    parsed = F.transform(fields, lambda s: F.when(s.rlike(NUMBER), s.try_cast("double")))
     return F.when((F.size(parsed) > 0) & ~F.exists(parsed, lambda v: v.isNull()), parsed)
 
 
+# The sentences below are fixed values: rows are compared by them.
+
+
 def place_error(lat: Column, lon: Column) -> Column:
     """What is wrong with a place; null if nothing. Not-a-number passes here and fails as an area."""
     lat_bad = ~F.isnan(lat) & ((lat < -90) | (lat > 90))
@@ -46,7 +57,7 @@ def error_of_area() -> Column:
 def parsed(targets: DataFrame, radius: Column | None = None, text: str = "input") -> DataFrame:
     """Adds kind, the area's four columns and error to rows of text. ``kind`` is file or given for GeoJSON, whose area is null here."""
     radius = F.lit(DEFAULT_RADIUS) if radius is None else radius
-    rows = targets.withColumns({"nums_": numbers(F.col(text)), "trim_": F.trim(F.col(text)), "radius_": radius.cast("double")})
+    rows = targets.withColumns({"nums_": numbers(F.col(text)), "trim_": trimmed(F.col(text)), "radius_": radius.cast("double")})
     n = F.size("nums_")
     at = lambda i: F.get("nums_", i - 1)
     kind = F.when(F.coalesce("trim_", F.lit("")) == "", F.lit(None)).when(F.col("trim_") == "-", "given").when(F.col("nums_").isNull(), "file").when(n == 2, "point").when(n == 4, "bbox")
