@@ -227,13 +227,66 @@ def write(run: Run, aoi_id: int, path: str, target: dict, options: RunOptions, e
     return record
 
 
-def write_files(run: Run, folder: str) -> DataFrame:
-    """Each task writes its chunks' PNGs into a folder that executors share: aoi_id, chunk_row, chunk_col, path, bytes, sha256."""
-    named = run.files.join(run.chunks.select("aoi_id", "chunk_row", "chunk_col", "suffix"), ["aoi_id", "chunk_row", "chunk_col"]).select("aoi_id", "chunk_row", "chunk_col", F.concat(F.lit(folder.rstrip("/") + "/aoi"), F.col("aoi_id").cast("string"), F.col("suffix"), F.lit(".png")).alias("path"), "data")
+def put_files(files: DataFrame) -> DataFrame:
+    """path, bytes, sha256: each task writes its files (path, data), each whole or not at all."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [images.write_atomic(p.as_py(), d.as_py()) for p, d in zip(batch.column("path"), batch.column("data"), strict=True)]
-            yield batch.drop_columns(["data"]).append_column("bytes", pa.array([n for _, n in done], pa.int64())).append_column("sha256", pa.array([s for s, _ in done]))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([n for _, n in done], pa.int64()), pa.array([s for s, _ in done], pa.string())], names=["path", "bytes", "sha256"])
 
-    return named.mapInArrow(put, "aoi_id long, chunk_row long, chunk_col long, path string, bytes long, sha256 string")
+    return files.select("path", "data").mapInArrow(put, "path string, bytes long, sha256 string")
+
+
+def records(run: Run, files: DataFrame, overviews: DataFrame, options: RunOptions, version: str = "1") -> DataFrame:
+    """aoi_id, record: the JSON description of each area, made where its rows are. What is absent is left out.
+
+    ``files`` and ``overviews`` have the path of each image by aoi_id.
+    """
+    z = F.col("z")
+    counts = [F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("sampled", "ok", "missing", "placeholder", "failed", "sharp", "upsampled")]
+    tries = run.attempts.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(F.negative("z").alias("down"), F.struct(F.col("z").alias("zoom"), "tiles", *counts, "accepted", "reason").alias("t")))).alias("tries"))
+    gaps = run.resolved.where("kind <> 'native'").groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("y", "x", F.struct(F.struct("z", "x", "y").alias("tile"), F.struct("kind", "from_zoom").alias("source")).alias("g")))).alias("gaps"))
+    box = lambda: F.struct(F.col("south").alias("min_lat"), F.col("west").alias("min_lon"), F.col("north").alias("max_lat"), F.col("east").alias("max_lon"))
+    made = m.bounded(files.select(*KEYS, "z", "path", "chunk_row", "chunk_col", "width", "height", "bytes", "sha256", "world_file", F.col("cx0").alias("x0"), F.col("cy0").alias("y0"), F.col("cx1").alias("x1"), F.col("cy1").alias("y1")), z)
+    listed = made.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("chunk_row", "chunk_col", F.struct("path", F.col("chunk_row").alias("row"), F.col("chunk_col").alias("col"), "width", "height", "bytes", "sha256", box().alias("bounds"), "world_file").alias("f")))).alias("files"))
+    over = overviews.select(*KEYS, F.struct("path", F.lit(0).alias("row"), F.lit(0).alias("col"), "width", "height", "bytes", "sha256").alias("overview"))
+    rows = m.bounded(run.areas, z).join(run.stats, KEYS).join(listed, KEYS).join(tries, KEYS, "left").join(gaps, KEYS, "left").join(over, KEYS, "left")
+    metres = [F.round(f(F.col(c), z), 3) for f, c in ((m.px_to_mercator_x, "x0"), (m.py_to_mercator_y, "y1"), (m.px_to_mercator_x, "x1"), (m.py_to_mercator_y, "y0"))]
+    asked = F.struct("min_lat", "min_lon", "max_lat", "max_lon")
+    record = F.struct(
+        F.lit("tilespark").alias("tool"), F.lit(version).alias("version"), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_utc"),
+        F.struct(F.lit(options.provider).alias("provider"), F.lit(options.template).alias("url_template"), F.lit(options.attribution).alias("attribution")).alias("source"),
+        F.struct(asked.alias("requested_bbox"), F.lit(options.clip).alias("clip")).alias("target"),
+        F.struct(z.alias("selected"), F.lit(options.zoom.max_zoom).alias("max_requested"), F.lit(options.zoom.min_zoom).alias("min_allowed"), F.transform("tries", lambda t: t["t"]).alias("attempts")).alias("zoom"),
+        F.struct(F.round(m.ground_resolution(m.center_lat(), z), 4).alias("ground_m_per_px"), F.round(m.mercator_resolution(z), 6).alias("epsg3857_m_per_px")).alias("resolution"),
+        F.struct(F.struct("z", F.col("tx0").alias("x_min"), F.col("ty0").alias("y_min"), F.col("tx1").alias("x_max"), F.col("ty1").alias("y_max")).alias("tile_range"), F.col("tiles").alias("tile_count"), (F.col("x1") - F.col("x0")).alias("pixel_width"), (F.col("y1") - F.col("y0")).alias("pixel_height"), "chunk_rows", "chunk_cols", F.lit(options.chunk).alias("chunk_max_side")).alias("grid"),
+        F.struct(box().alias("wgs84"), F.array(*metres).alias("epsg3857")).alias("bounds"),
+        F.struct(F.lit("png").alias("format"), F.transform("files", lambda f: f["f"]).alias("files"), "overview").alias("output"),
+        F.struct("native", "gap_filled", "placeholder", "empty", F.col("skipped").alias("skipped_outside_clip")).alias("tiles"),
+        F.transform("gaps", lambda g: g["g"]).alias("gap_tiles"), (F.col("empty") == 0).alias("complete"),
+    )
+    return rows.select(*KEYS, F.to_json(record).alias("record"))
+
+
+def write_files(run: Run, folder: str, options: RunOptions | None = None) -> DataFrame:
+    """Tasks write what they hold into a folder that executors share: aoi_id, chunk_row, chunk_col, path, bytes, sha256 of the images.
+
+    Each area gets its chunks as PNG, its overview if it has several, world files and projections if asked for, and
+    its JSON record; no image passes the driver. For JPEG, which takes the driver's JVM, see ``write``.
+    """
+    options = options or RunOptions()
+    base = F.concat(F.lit(folder.rstrip("/") + "/aoi"), F.col("aoi_id").cast("string"))
+    z = F.col("z")
+    keys = [*KEYS, "chunk_row", "chunk_col"]
+    side = F.concat(F.col("base"), F.lit(labels.WORLD_FILE["png"])) if options.world_file else F.lit(None).cast("string")
+    plan = run.chunks.select(*keys, "z", "cx0", "cy0", "cx1", "cy1", F.concat(base, F.col("suffix")).alias("base")).withColumn("world_file", side)
+    named = run.files.join(plan, keys).withColumn("path", F.concat("base", F.lit(".png")))
+    overviews = run.overviews.withColumn("path", F.concat(base, F.lit("_overview.png")))
+    written = keep(put_files(named.select("path", "data").union(overviews.select("path", "data"))), "written")
+    if options.world_file:
+        world = plan.select(F.col("world_file").alias("path"), images.world_file(F.col("cx0"), F.col("cy0"), z).cast("binary").alias("data"))
+        put_files(world.union(plan.select(F.concat("base", F.lit(".prj")), F.lit(images.PROJECTION).cast("binary")))).agg(F.sum("bytes")).collect()
+    told = records(run, named.drop("data"), overviews.drop("data"), options).select(F.concat(base, F.lit(".json")).alias("path"), F.concat("record", F.lit("\n")).cast("binary").alias("data"))
+    put_files(told).agg(F.sum("bytes")).collect()
+    return named.select(*keys, "path").join(written, "path").select(*keys, "path", "bytes", "sha256")
