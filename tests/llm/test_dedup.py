@@ -154,6 +154,42 @@ def test_substring_small_texts(frame):
     assert got == brute_substring(pairs)
 
 
+def test_substring_branches_agree(frame, monkeypatch):
+    """Many buckets, shuffled lists instead of broadcast ones, and a hash that is the same for all strings."""
+    rng = np.random.default_rng(13)
+    pairs = [(i if i % 7 else 3, " ".join(words(int(rng.integers(6)), 30) + words(100 + i, 8) + words(int(rng.integers(6)), 30))) for i in range(40)] + [(50, None), (51, "")]
+    expected = brute_substring(pairs)
+    result = lambda: sorted((tuple(r) for r in substring_dedup.digest(frame(pairs)).collect()), key=str)
+    monkeypatch.setattr(substring_dedup, "BUCKET_TEXT", 200)
+    monkeypatch.setattr(substring_dedup, "TASK_TEXT", 3000)
+    assert result() == expected
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", 0)
+    assert result() == expected
+
+
+def test_strings_with_one_hash_are_told_apart(monkeypatch):
+    rng = np.random.default_rng(14)
+    lead = rng.integers(97, 123, 28, dtype=np.uint8)
+    texts = [np.concatenate([rng.integers(97, 99, 22, dtype=np.uint8), lead, rng.integers(97, 99, 22, dtype=np.uint8)]) for _ in range(60)]
+    data, offs = np.concatenate(texts), np.arange(61) * 72
+    s = substring_dedup.surroundings(data, offs, np.arange(60) * 72 + 22, np.arange(60), np.arange(60), np.zeros(60, np.int64))
+    plain = substring_dedup.compared(s, np.zeros(60, np.int64))
+    monkeypatch.setattr(textkit, "mix", lambda h: h * np.uint64(0))
+    assert (substring_dedup.compared(s, np.zeros(60, np.int64)) == plain).all()
+
+
+def test_boundaries_follow_the_whole_lead():
+    rng = np.random.default_rng(15)
+    words_ = rng.integers(0, 3, (500, 9)).astype(np.uint64) << np.uint64(31)
+    words_ = words_[np.lexsort(substring_dedup.lead_words(words_).T[::-1])]
+    splitters = substring_dedup.quantiles(substring_dedup.lead_words(words_[::3]), 40)
+    edges = substring_dedup.boundaries(words_, splitters)
+    own = [tuple(r) for r in substring_dedup.lead_words(words_).tolist()]
+    expected = [sum(tuple(s) <= r for s in splitters.tolist()) for r in own]
+    assert len(splitters) > 10 and np.repeat(np.arange(len(splitters) + 1), np.diff(edges)).tolist() == expected
+
+
 def test_every_string_picks_by_its_own_bytes():
     rng = np.random.default_rng(2)
     body = rng.integers(97, 101, 400, dtype=np.uint8)

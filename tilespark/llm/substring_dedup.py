@@ -6,11 +6,13 @@ equal strings pick alike, and each is decided at the suffix that starts there. A
 suffix is kept with the bytes that any of its strings can cover: 50 to the right,
 22 to the left.
 
-Sampled splitters range-partition the suffixes by their leading bytes, 16 of them,
-which all strings of a suffix share; so what must meet shares a bucket. Buckets
+Sampled splitters range-partition the suffixes by their leading bytes, all 28 that the
+strings of a suffix share; so what must meet shares a bucket, and one frequent lead
+can still be parted. The sample grows with the number of buckets. Buckets
 sort by multikey quicksort, eight bytes at a time, each pass only over what is
 still tied. Suffixes with equal surroundings take the smallest document's as a
-model; the models that share 28 leading bytes are compared string by string. Tasks
+model; the models that share 28 leading bytes are compared string by string, by a hash
+first and by their bytes where that agrees. Tasks
 do the same before the exchange, so a passage with many copies crosses it once a
 task, and what is decided there crosses only as intervals.
 
@@ -44,7 +46,12 @@ GRAMS = LENGTH - GRAM + 1
 #: Text whose suffixes a bucket holds on average, and that a task gathers before it sends. Raise both with executor memory.
 BUCKET_TEXT, TASK_TEXT = 12 << 20, 12 << 20
 BATCH_BYTES = 2 << 20
-SAMPLE_DOCS = 2_000
+#: The sample has that many documents at least, and in larger tables about so many leads for each bucket.
+SAMPLE_DOCS, LEADS_A_BUCKET = 2_000, 32
+#: A document gives one lead for about so many bytes: one in 15 positions is kept, and one in 16 of those is sampled.
+LEAD_BYTES, LEAD_STEP = 240, 16
+#: The words of a lead, and what counts of the last.
+LEAD_WORDS, LEAD_MASK = 4, np.uint64(0xFFFFFFFF00000000)
 #: Up to this size the table of removed runs is broadcast; beyond, the texts are shuffled to it.
 BROADCAST_BYTES = 48 << 20
 #: Up to so many ids (8 bytes each) a list is broadcast.
@@ -205,12 +212,26 @@ def compared(s: Suffixes, key: np.ndarray) -> np.ndarray:
         new = np.ones(len(rows), bool)
         new[1:] = value[1:] != value[:-1]
         start = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-        hit = rows[order[doc != doc[start]]] if len(rows) else rows
+        later = np.flatnonzero(doc != doc[start]) if len(rows) else rows
+        hit, model = rows[order[later]], rows[order[start[later]]]
+        same = (key[hit] == key[model]) & (raw[hit, KEY : LENGTH - back] == raw[model, KEY : LENGTH - back]).all(axis=1) & (raw[hit, LENGTH : LENGTH + back] == raw[model, LENGTH : LENGTH + back]).all(axis=1)
+        if not same.all():
+            # Two strings with one hash: those groups are told apart by their bytes.
+            mixed = rows[order[np.isin(start, start[later[~same]])]]
+            hit = np.concatenate([np.setdiff1d(hit, mixed), repeated_bytes(s.doc[mixed], [(key[r], raw[r, KEY : LENGTH - back].tobytes(), raw[r, LENGTH : LENGTH + back].tobytes()) for r in mixed], mixed)])
         low[hit], high[hit] = np.minimum(low[hit], back), back
     hit = np.flatnonzero(high >= 0)
     return np.column_stack([s.doc[hit], s.nth[hit], s.at[hit] - high[hit], s.at[hit] - low[hit] + LENGTH])
 
 
+def repeated_bytes(doc: np.ndarray, texts: list[tuple], rows: np.ndarray) -> np.ndarray:
+    """The rows whose string a smaller document has too."""
+    first: dict[tuple, int] = {}
+    for d, t in zip(doc.tolist(), texts, strict=True):
+        first[t] = min(first.get(t, d), d)
+    return rows[[d > first[t] for d, t in zip(doc.tolist(), texts, strict=True)]]
+
+
 def pressed(*columns: np.ndarray) -> bytes:
     """Columns of one length, bytes of like weight together, compressed."""
     raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T if c.ndim == 1 else c).tobytes() for c in columns)
@@ -245,17 +266,18 @@ def doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
     return (textkit.mix(doc.astype(np.uint64)) % _U(buckets)).astype(np.int64)
 
 
-def bucket_of(words: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """Number of splitters, pairs of leading words, that aren't above a suffix."""
-    lead, second = words[:, 0], words[:, 1]
-    out = np.searchsorted(splitters[:, 0], lead, "left")
-    shared = np.unique(splitters[:, 0])
-    place = np.minimum(np.searchsorted(shared, lead), len(shared) - 1) if len(shared) else np.zeros(len(lead), np.int64)
-    if len(shared):
-        hit = np.flatnonzero(shared[place] == lead)
-        for value in np.unique(lead[hit]):
-            rows = hit[lead[hit] == value]
-            out[rows] += np.searchsorted(splitters[splitters[:, 0] == value, 1], second[rows], "right")
+def boundaries(words: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """Where each bucket starts and the last ends among rows in order: a row belongs to as many splitters as aren't above its lead."""
+    out = np.zeros(len(splitters) + 2, np.int64)
+    out[-1] = len(words)
+    low, high = np.searchsorted(words[:, 0], splitters[:, 0], "left"), np.searchsorted(words[:, 0], splitters[:, 0], "right")
+    for b, (x, y) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        for j in range(1, LEAD_WORDS):
+            if x == y:
+                break
+            column = words[x:y, j] if j < LEAD_WORDS - 1 else words[x:y, j] & LEAD_MASK
+            x, y = x + int(np.searchsorted(column, splitters[b, j], "left")), x + int(np.searchsorted(column, splitters[b, j], "right"))
+        out[b + 1] = x
     return out
 
 
@@ -271,8 +293,7 @@ def sent(parts: list[Suffixes], splitters: np.ndarray) -> Iterator[pa.RecordBatc
     done = repeated(s, new)
     runs = whole_intervals(s, np.flatnonzero(done))
     s = s.take(np.flatnonzero(~done))
-    to = bucket_of(s.words, splitters)
-    edges = np.searchsorted(to, np.arange(buckets + 1))
+    edges = boundaries(s.words, splitters)
     own = doc_bucket(runs[:, 0], buckets)
     runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0], own))]
     run_edges = np.searchsorted(np.sort(own), np.arange(buckets + 1))
@@ -414,21 +435,31 @@ def numbered(docs: DataFrame) -> DataFrame:
     return marked.select("doc_id", "id_", F.when(F.col("shared_"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("nth_"), "text")
 
 
-def sample_splitters(rows: DataFrame, count: int, buckets: int) -> np.ndarray:
-    """Pairs of leading words that part the suffixes of a sample of documents evenly. Only balance depends on the sample."""
-    every = max(1, count // SAMPLE_DOCS)
+def sample_splitters(rows: DataFrame, count: int, size: int, buckets: int) -> np.ndarray:
+    """Leads that part the suffixes of a sample of documents evenly. Only balance depends on the sample."""
+    every = max(1, min(count // SAMPLE_DOCS, size // (LEAD_BYTES * LEADS_A_BUCKET * buckets)))
+    names = [f"w{j}" for j in range(LEAD_WORDS)]
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, s in read(batches):
-            some = s.words[::16]
-            yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].view(np.int64)), pa.array(some[:, 1].view(np.int64))], names=["a", "b"])
+            some = lead_words(s.words[::LEAD_STEP])
+            yield pa.RecordBatch.from_arrays([pa.array(some[:, j].copy().view(np.int64)) for j in range(LEAD_WORDS)], names=names)
+
+    found = rows.where(F.pmod(F.xxhash64("id_"), F.lit(every)) == 0).select("id_", "nth_", "text").mapInArrow(leads, ", ".join(f"{n} long" for n in names)).toArrow()
+    return quantiles(np.column_stack([found.column(n).to_numpy().view(np.uint64) for n in names]), buckets)
+
+
+def lead_words(words: np.ndarray) -> np.ndarray:
+    out = words[:, :LEAD_WORDS].copy()
+    out[:, -1] &= LEAD_MASK
+    return out
+
 
-    found = rows.where(F.pmod(F.xxhash64("id_"), F.lit(every)) == 0).select("id_", "nth_", "text").mapInArrow(leads, "a long, b long").collect()
-    if buckets < 2 or not found:
-        return np.zeros((0, 2), np.uint64)
-    pairs = np.array([(r["a"], r["b"]) for r in found], np.int64).view(np.uint64)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    return np.unique(pairs[np.arange(1, buckets) * len(pairs) // buckets], axis=0)
+def quantiles(leads: np.ndarray, buckets: int) -> np.ndarray:
+    if buckets < 2 or not len(leads):
+        return np.zeros((0, LEAD_WORDS), np.uint64)
+    leads = leads[np.lexsort(leads.T[::-1])]
+    return np.unique(leads[np.arange(1, buckets) * len(leads) // buckets], axis=0)
 
 
 def removed_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -436,7 +467,7 @@ def removed_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark, rows = docs.sparkSession, numbered(docs)
     count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(-(-size // BUCKET_TEXT), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    splitters = sample_splitters(rows, count, buckets)
+    splitters = sample_splitters(rows, count, size, buckets)
     buckets = len(splitters) + 1
     exchanged = rows.select("id_", "nth_", "text").mapInArrow(lambda b: gathered(b, splitters), "bucket int, n long, suffixes binary, m long, runs binary")
     runs = exchanged.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda b: decided(b, buckets), "bucket int, m long, runs binary")
