@@ -197,6 +197,19 @@ def test_mix_meets_targets(spark, messy, empty):
     assert mixing.plan(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_targets_of_many_sources_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(None if k == 700 else f"s{k:04d}", rng.randrange(0, 10 ** rng.randrange(1, 6))) for k in range(701) for _ in range(2)]
+    sizes = Counter()
+    for s, n in rows:
+        sizes[s] += n
+    target = brute_targets(sizes)
+    for part in (100, 1, 100_000):
+        monkeypatch.setattr(mixing, "SOURCES_A_PART", max(part, 30))
+        got = {r["source"]: r["target"] for r in mixing.rates(spark.createDataFrame(rows, "source string, size long")).collect()}
+        assert got.keys() == target.keys() and all(math.isclose(got[s], target[s], rel_tol=1e-9, abs_tol=1e-6) for s in got)
+
+
 def test_containment_against_sets(spark, messy, empty, frame):
     items = [(k, " ".join(words(900 + k, 6 + 4 * k))) for k in range(12)] + [(50, None), (51, ""), (52, "one two three"), (0, " ".join(words(900, 6))), (None, "one two three")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")

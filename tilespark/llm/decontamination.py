@@ -49,6 +49,10 @@ class Block:
     starts: np.ndarray
     owners: np.ndarray
 
+    def plain(self) -> tuple:
+        """What is broadcast: arrays only, so that workers can read it without this module."""
+        return self.ids, self.sets, self.keys, self.starts, self.owners
+
 
 def sketch_length(n: int) -> int:
     return n - -(-SHARE_OF_100 * n // 100) + 1
@@ -126,13 +130,14 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, item_shingles long, shared long"
     out = spark.createDataFrame([], schema)
     for wave, last in waves(blocks(benchmark)):
-        sent = spark.sparkContext.broadcast(wave)
+        sent = spark.sparkContext.broadcast([block.plain() for block in wave])
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = [Block(*parts) for parts in sent.value]
             for batch in batches:
                 for first, _, data, offs in textkit.slices(batch.column("text")):
                     values, at = textkit.shingle_sets(data, offs)
-                    got = [(first + r, block.ids[i], len(block.sets[i]), s) for block in sent.value for r, i, s in found_in(block, values, at)]
+                    got = [(first + r, block.ids[i], len(block.sets[i]), s) for block in own for r, i, s in found_in(block, values, at)]
                     if got:
                         row, *rest = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *(pa.array(c, pa.int64()) for c in rest)], names=["doc_id", "item_id", "item_shingles", "shared"])
@@ -149,12 +154,14 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that contain an item."""
     kept = docs
     for wave, last in waves(blocks(benchmark, nameless=True)):
-        sent = docs.sparkSession.sparkContext.broadcast(wave)
+        sent = docs.sparkSession.sparkContext.broadcast([block.plain() for block in wave])
 
         def free(sent=sent) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+            own = [Block(*parts) for parts in sent.value]
+
             def keeps(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
                 out, (values, at) = np.ones(len(offs) - 1, bool), textkit.shingle_sets(data, offs)
-                for block in sent.value:
+                for block in own:
                     out[[r for r, _, _ in found_in(block, values, at)]] = False
                 return out
 

@@ -30,6 +30,8 @@ STEPS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to so many sources the table of rates is broadcast (under 2 MB); beyond, the join is shuffled and skewed parts are split.
 BROADCAST_SOURCES = 20_000
+#: Sources that one task ranks and sums; more go in parts by range.
+SOURCES_A_PART = 200_000
 
 
 def words_in(text: Column) -> Column:
@@ -42,24 +44,42 @@ def chance(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def in_parts(rows: DataFrame, order: list[Column], parts: int, name: str) -> DataFrame:
+    """``rows`` dealt out to parts by range, with the part's number; staged, so that the number holds."""
+    return storage.staged(rows.repartitionByRange(parts, *order).withColumn("part_", F.spark_partition_id()), name)
+
+
+def around(parts: DataFrame, **sums: str) -> DataFrame:
+    """part_, and for each name the sum of a column over the parts before, or, if the name ends in ``after``, over those after. One row a part."""
+    by = parts.groupBy("part_").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    order = Window.orderBy("part_")
+    sides = {n: order.rowsBetween(1, Window.unboundedFollowing) if n.endswith("after") else order.rowsBetween(Window.unboundedPreceding, -1) for n in sums}
+    return by.select("part_", *[F.coalesce(F.sum(n).over(side), F.lit(0)).alias(n) for n, side in sides.items()])
+
+
 def rates(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """source, source_size, target, rate: one row a source, from rows of (source, size).
 
     Filling to a common level L gives each source min(3 * size, L * weight); with sources in order
-    of 3 * size / weight, L follows from the sums over those that stop before.
+    of 3 * size / weight, L follows from the sums over those that stop before. Ranks and sums are
+    taken within parts by range and added up over the parts, so no task holds all sources.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = by.withColumn("nth_", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    by = storage.staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    total, count = by.agg(F.sum("source_size"), F.count("*")).first()
+    parts = max(1, -(-count // SOURCES_A_PART))
+    named = in_parts(by.withColumn("one_", F.lit(1)), [F.col("source").asc_nulls_last()], parts, "mix-by-name")
+    rank = F.row_number().over(Window.partitionBy("part_").orderBy(F.col("source").asc_nulls_last()))
+    ranked = named.withColumn("nth_", rank).join(F.broadcast(around(named, before="one_")), "part_").withColumn("nth_", F.col("nth_") + F.col("before") - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth_") % len(weights)).cast("int") + 1)
-    ranked = ranked.withColumn("weight_", weight).withColumn("cap_", (F.col("source_size") * MOST_REPEATS).cast("double")).withColumn("stop_", F.col("cap_") / F.col("weight_"))
-    order = Window.orderBy("stop_", "nth_")
+    ranked = ranked.select("source", "source_size", "nth_", weight.alias("weight_"), (F.col("source_size") * MOST_REPEATS).cast("double").alias("cap_")).withColumn("stop_", F.col("cap_") / F.col("weight_"))
+    stops = in_parts(ranked, [F.col("stop_"), F.col("nth_")], parts, "mix-by-stop")
+    order = Window.partitionBy("part_").orderBy("stop_", "nth_")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(every).cast("double") - F.coalesce(F.sum("cap_").over(before), F.lit(0.0))) / F.sum("weight_").over(after)
-    levels = ranked.withColumn("level_", level)
-    levels = levels.withColumn("level_", F.min(F.when(F.col("level_") <= F.col("stop_"), F.struct(F.col("stop_").alias("s"), F.col("nth_").alias("n"), F.col("level_").alias("l")))).over(every)["l"])
-    target = F.least(F.col("cap_"), F.col("level_") * F.col("weight_"))
-    out = levels.select("source", "source_size", target.alias("target"))
+    levels = stops.join(F.broadcast(around(stops, before="cap_", after="weight_")), "part_")
+    level = (F.lit(total).cast("double") - F.coalesce(F.sum("cap_").over(before), F.lit(0.0)) - F.col("before")) / (F.sum("weight_").over(after) + F.col("after"))
+    first = levels.select("stop_", "nth_", level.alias("level_")).where("level_ <= stop_").agg(F.min(F.struct("stop_", "nth_", "level_"))).first()[0]
+    target = F.least(F.col("cap_"), F.lit(first["level_"] if first else None).cast("double") * F.col("weight_"))
+    out = stops.select("source", "source_size", target.alias("target"))
     return out.withColumn("rate_", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
 

@@ -343,6 +343,7 @@ def hubs(members: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, every: DataFrame) -> DataFrame:
     """node, label for nodes with links, from confirmed links that connect every component."""
+    since = storage.mark()
     rows = every.select("node", "sign").mapInArrow(lookups, "bucket long, node long")
     heads = storage.staged(rows.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size"), "near-heads")
     buckets = storage.staged(rows.join(heads, "bucket"), "near-buckets")
@@ -361,7 +362,7 @@ def links(docs: DataFrame, every: DataFrame) -> DataFrame:
     second = verified(pairs, packs)
     whole = filled.join(packs, "node").repartition(*TILE).sortWithinPartitions(*TILE)
     third = storage.staged(whole.mapInArrow(compared, "u long, v long"), "near-tile-links")
-    return storage.staged(components.labels(first.union(second).union(third)), "near-labels")
+    return storage.settled(storage.staged(components.labels(first.union(second).union(third)), "near-labels"), since)
 
 
 def named(docs: DataFrame) -> DataFrame:

@@ -250,7 +250,8 @@ def identifiers(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered, n_spans: one row a document."""
     scanned = scan(docs)
     found = storage.staged(occurrences(scanned), "pii-tokens")
-    unseen = storage.staged(scored(docs, found), "pii-unseen")
+    since = storage.mark()
+    unseen = storage.settled(storage.staged(scored(docs, found), "pii-unseen"), since)
     extra = found.where("NOT base").join(unseen.select("instance"), "instance").groupBy("row_").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("id")).alias("nth"), F.lit("id").alias("kind"), "end")).alias("extra"))
     base = F.transform("base", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "nth", "kind", "end")]))
     rows = scanned.select("row_", "doc_id", base.alias("base")).join(extra, "row_", "left")

@@ -91,7 +91,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Lift:
-    """Standardised statistics, their random cosines, and a constant."""
+    """Random cosines of standardised statistics, and a constant: the score is the kernel's alone."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -100,7 +100,7 @@ class Lift:
         x = np.clip((stats - self.mean) / self.scale, -6, 6)
         rng = np.random.default_rng(SEED)
         turn = x @ rng.normal(0, 1 / WIDTH, (len(NAMES), FEATURES)) + rng.uniform(0, 2 * np.pi, FEATURES)
-        return np.hstack([np.cos(turn) * np.sqrt(2 / FEATURES), x / 10, np.ones((len(x), 1))])
+        return np.hstack([np.cos(turn) * np.sqrt(2 / FEATURES), np.ones((len(x), 1))])
 
 
 def solved(gram: np.ndarray, cross: np.ndarray, rows: float) -> np.ndarray:
@@ -149,7 +149,7 @@ def fitted(stats: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> M
     if found is None or found[0] is None:
         return None
     lift = Lift(np.array(found[:width], float), np.maximum(np.array(found[width:], float), 1e-3))
-    terms = FEATURES + width + 1
+    terms = FEATURES + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, cross, n = np.zeros((2, terms, terms)), np.zeros((2, terms)), np.zeros(2)

@@ -51,6 +51,19 @@ def forget(df: DataFrame) -> None:
     dropped(df.sparkSession, df.staged_path)
 
 
+def mark() -> int:
+    """Stands for all that is staged so far; see ``settled``."""
+    return len(_written)
+
+
+def settled(df: DataFrame, since: int) -> DataFrame:
+    """The staged table ``df``; all others staged since the mark are deleted, as only it was made from them."""
+    for path in [p for p in _written[since:] if p != df.staged_path]:
+        _written.remove(path)
+        dropped(df.sparkSession, path)
+    return df
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all staged tables of this process. For when no result that reads them is needed any more."""
     while _written:
