@@ -3,6 +3,16 @@
 Each stage takes the documents that its predecessor kept, as Parquet in the shared
 folder, applies one operator of ``tilespark.llm``, and returns a DataFrame; all but
 the last return the columns of ``documents``.
+
+Edge cases, by stage. Null texts count as empty. ``toxicity``: empty texts score by the
+intercept; without labels of both kinds nothing goes. ``near_dedup``: texts without words
+stay, each row; of rows that repeat id and text one stays; different texts that share an
+id, or have none, stay unless they are near copies. ``decontamination``: items without id
+count, empty ones match nothing. ``mixing``: texts without words are taken by rate like
+others and add nothing; the null source is one more source; rows that repeat id and
+source are drawn alike. ``sharding``: equal texts, null and empty ones among them, share
+a shard. Ties go to the smaller id, then the smaller hash. Empty tables, of documents,
+labels or items, give empty results or drop nothing; other columns are kept.
 """
 
 from __future__ import annotations
@@ -53,8 +63,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. Every stage but the last is written and read again."""
-    docs = storage.table(spark, sf_dir, "documents")
+    """The rows of the last stage. Every stage but the last is written and read again; what it needed besides, and the stage before, are deleted then."""
+    docs, since = storage.table(spark, sf_dir, "documents"), storage.mark()
     for name, stage in STAGES[:-1]:
-        docs = storage.staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = storage.settled(storage.staged(stage(spark, docs, sf_dir), f"stage-{name}"), since)
     return STAGES[-1][1](spark, docs, sf_dir)
