@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tilespark.functions import labels
 from tilespark.operators import zoom
-from tilespark.plans import layout, run
+from tilespark.plans import layout, run, store
 from tilespark.sources import geojson, http, targets
 
 VERSION = "1"
@@ -164,7 +164,7 @@ def main(args: list[str], spark: Callable[[], SparkSession], stdin: TextIO = sys
         if kind == "webp":
             raise RuntimeError("webp output needs an encoder that is not installed; use .png or .jpg")
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        made = run.execute(area, read, wish, positions)
+        made = run.execute(area, read, wish, positions, (lambda text: None) if f["quiet"] else (lambda text: print(text, file=err)))
         outcome = made.outcomes.first()
         if outcome["outcome"] != "ok":
             said = {"too_large": "area too large for the tile budget at every zoom", "none": "no imagery found at any zoom", "unreachable": "tile server unreachable", "fatal": "tile server refused request"}
@@ -173,6 +173,8 @@ def main(args: list[str], spark: Callable[[], SparkSession], stdin: TextIO = sys
     except (RuntimeError, OSError) as e:
         print("error:", labels.redact(str(e)), file=err)
         return FAILED
+    finally:
+        store.clear(session)
     files = record["output"]["files"]
     total = sum(x["bytes"] for x in files)
     size = session.range(1).select(labels.human_bytes(F.lit(total))).first()[0]

@@ -70,8 +70,8 @@ class Run:
 class Reader:
     """What a run has read: each tile once, with the verdict on it. Only tiles that nobody has asked for yet go to the source."""
 
-    def __init__(self, source: Source, detail_ratio: float) -> None:
-        self.source, self.detail_ratio = source, detail_ratio
+    def __init__(self, source: Source, detail_ratio: float, say: Callable[[str], None] = lambda text: None) -> None:
+        self.source, self.detail_ratio, self.say = source, detail_ratio, say
         self.reads: list[DataFrame] = []
         self.judgements: list[DataFrame] = []
 
@@ -80,8 +80,10 @@ class Reader:
         if self.judgements:
             fresh = fresh.join(self.statuses().select("z", "x", "y"), ["z", "x", "y"], "left_anti")
         fresh = keep(fresh, f"{name}-wanted")
-        if self.judgements and not fresh.limit(1).count():
+        count = fresh.count()
+        if self.judgements and not count:
             return
+        self.say(f"{name}: {count} tiles")
         found = (self.source if probing else getattr(self.source, "strict", self.source))(fresh)
         for column, kind in (("error", "string"), ("fatal", "boolean"), ("requests", "int"), ("bytes", "long")):
             if column not in found.columns:
@@ -119,15 +121,16 @@ def together(parts: list[DataFrame], columns: tuple[str, ...]) -> DataFrame:
     return out
 
 
-def execute(areas: DataFrame, source: Source, options: RunOptions, positions: DataFrame | None = None) -> Run:
+def execute(areas: DataFrame, source: Source, options: RunOptions, positions: DataFrame | None = None, say: Callable[[str], None] = lambda text: None) -> Run:
     """Runs areas (aoi_id, min_lat, min_lon, max_lat, max_lon). ``positions`` are polygons (aoi_id, polygon, ring, nth, lon, lat) for clipping.
 
     A refusal decides only areas that meet it: at a level that is judged before one is accepted, or on the way
     from a wanted tile up to its nearest imagery. Their outcome is ``fatal``, with what was said; others go on.
+    ``say`` is told what is about to be read, step by step.
     """
     if options.clip and positions is None:
         raise ValueError("clip needs polygons")
-    reader = Reader(source, options.zoom.detail_ratio)
+    reader = Reader(source, options.zoom.detail_ratio, say)
 
     def probe(wanted: DataFrame) -> DataFrame:
         reader.read(wanted, "probe", probing=True)
