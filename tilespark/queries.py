@@ -805,10 +805,10 @@ hit AS (SELECT s.aoi_id, s.x, s.y, count(i.y) > 0 AS seen FROM spots s LEFT JOIN
 SELECT aoi_id, x, y, {', '.join(f'CAST(CASE WHEN seen THEN {v} ELSE 0 END AS INTEGER) AS {n}' for v, n in ((r, 'r'), (g, 'g'), (b, 'b'), ('255', 'a')))} FROM hit"""
 
 
-@query(f"WITH {SQL_EDGES}, {SQL_SPANS}, {sql_stitched()}")
+@query(f"WITH {SQL_EDGES.replace('s_suppkey', 'n_nationkey').replace('FROM supplier', 'FROM nation')}, {SQL_SPANS}, {sql_stitched()}")
 def stitch_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of the encoded, clipped chunks of suppliers' areas, decoded again."""
-    windows_, positions = polygons(spark, sf_dir)
+    """Pixels of the encoded, clipped chunks of nations' areas, decoded again."""
+    windows_, positions = polygons(spark, sf_dir, "nation", "n_nationkey")
     plan, spans = keep(layout.grid(windows_, 512), "plan"), keep(clip.spans(clip.crossings(clip.edges(positions, ["aoi_id"]), windows_, ["aoi_id"]), ["aoi_id"]), "spans")
     chunks = keep(layout.chunks(plan.drop("chunk_rows", "chunk_cols"), 512), "chunks")
     wanted = keep(clip.kept(layout.chunk_of(layout.tiles(plan.drop("chunk_rows", "chunk_cols")), 512).select("aoi_id", "z", "x", "y", "chunk_row", "chunk_col"), spans, ["aoi_id"]), "wanted")
