@@ -47,6 +47,14 @@ def spans(crossed: DataFrame, keys: list[str]) -> DataFrame:
     return cut.where("from_x < to_x")
 
 
+def pixels(span_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pixels: how many lie inside any polygon, each counted once. Of a span counts what no span before it in its row reaches."""
+    order = Window.partitionBy(*keys, "y").orderBy("from_x")
+    reached = F.max("to_x").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = span_rows.select(*keys, F.greatest(F.col("to_x") - F.greatest("from_x", reached), F.lit(0)).alias("fresh_"))
+    return fresh.groupBy(*keys).agg(F.sum("fresh_").alias("pixels"))
+
+
 def touched(span_rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, x, y of tiles with a pixel inside."""
     wide = span_rows.select(*keys, F.expr(f"y div {m.TILE}").alias("y"), F.explode(F.sequence(F.expr(f"from_x div {m.TILE}"), F.expr(f"(to_x - 1) div {m.TILE}"))).alias("x"))

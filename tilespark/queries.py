@@ -22,6 +22,7 @@ from tilespark.plans.store import keep
 from tilespark.sources import geojson, http, images, synthetic, targets
 
 ZOOMS = (3, 9, 15, 19, 23)
+AREAS_A_TASK = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -544,8 +545,10 @@ def scanline_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_EDGES}, {SQL_SPANS}, px AS (SELECT DISTINCT aoi_id, y, unnest(generate_series(from_x, to_x - 1)) AS x FROM inside) SELECT aoi_id, count(*) AS pixels FROM px GROUP BY aoi_id")
 def mask_union_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = area_spans(spark, sf_dir)[1]
-    return spans.select("aoi_id", "y", F.explode(F.sequence(F.col("from_x"), F.col("to_x") - 1)).alias("x")).distinct().groupBy("aoi_id").agg(F.count("*").alias("pixels"))
+    found, positions = polygons(spark, sf_dir)
+    # Areas are dealt out before their rows of pixels are made: these are then sorted where they are, a few areas to a task, and none move.
+    dealt = positions.repartition(max(1, -(-found.count() // AREAS_A_TASK)), "aoi_id")
+    return clip.pixels(clip.spans(clip.crossings(clip.edges(dealt, ["aoi_id"]), found.hint("merge"), ["aoi_id"]), ["aoi_id"]), ["aoi_id"])
 
 
 @query(f"WITH {SQL_EDGES}, {SQL_SPANS} SELECT DISTINCT aoi_id, y // 256 AS y, unnest(generate_series(from_x // 256, (to_x - 1) // 256)) AS x FROM inside")
