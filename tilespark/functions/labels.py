@@ -39,12 +39,30 @@ def world_file_extension(kind: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """A size in B, KB, MB or GB; ties go to the even digit, which format_string alone doesn't do."""
-
-    def in_unit(power: int, places: int, unit: str) -> Column:
-        return F.concat(F.format_string(f"%.{places}f", F.bround(n / float(1 << power), places)), F.lit(f" {unit}"))
-
-    return F.when(n >= 1 << 30, in_unit(30, 2, "GB")).when(n >= 1 << 20, in_unit(20, 1, "MB")).when(n >= 1 << 10, in_unit(10, 0, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    """A size in B, KB, MB or GB, of any integer or decimal type. It counts as the nearest double where it fits 64 bits; ties go to the even digit.
+
+    Digits come from whole numbers: format_string rounds ties up, and bround takes what only reads as a tie for one.
+    """
+
+    def in_unit(n: Column, kind: str, power: int, places: int, unit: str) -> Column:
+        one, shown = F.lit(1 << power).cast("long"), 10**places
+        rest = (n % one).cast("long")
+        units, over = ((n - rest) / one).cast(kind), (rest * shown) % one
+        digits = ((rest * shown - over) / one).cast("long")
+        odd = (digits if places else units) % 2 == 1
+        digits = digits + F.when((over * 2 > one) | ((over * 2 == one) & odd), 1).otherwise(0)
+        units = (units + F.when(digits == shown, 1).otherwise(0)).cast("string")
+        return F.concat(units, F.concat(F.lit("."), F.lpad((digits % shown).cast("string"), places, F.lit("0"))) if places else F.lit(""), F.lit(f" {unit}"))
+
+    fits = n.try_cast("long")
+    near = fits.cast("double").cast("long")
+    return (
+        F.when(fits.isNull(), in_unit(n.cast("decimal(38,0)"), "decimal(38,0)", 30, 2, "GB"))
+        .when(fits >= 1 << 30, in_unit(near, "long", 30, 2, "GB"))
+        .when(fits >= 1 << 20, in_unit(near, "long", 20, 1, "MB"))
+        .when(fits >= 1 << 10, in_unit(near, "long", 10, 0, "KB"))
+        .otherwise(F.concat(fits.cast("string"), F.lit(" B")))
+    )
 
 
 def width_of(last: Column) -> Column:

@@ -358,9 +358,12 @@ def tile_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, nth, n: decimal, as from a key of 3 036 996 on n may be beyond 64 bits, where the oracle SQL ends with an error."""
     k, nth = F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int")
     factor = F.when(nth % 3 == 0, 1).when(nth % 3 == 1, 997).otherwise(1000003)
-    return table(spark, sf_dir, "lineitem").select(k.alias("k"), nth.alias("nth"), (k * k * factor + nth).cast("long").alias("n"))
+    wide, fits = k.cast("decimal(19,0)"), F.try_add(F.try_multiply(F.try_multiply(k, k), factor), nth)
+    n = F.coalesce(fits.cast("decimal(38,0)"), (wide * wide * factor + nth).cast("decimal(38,0)"))
+    return table(spark, sf_dir, "lineitem").select(k.alias("k"), nth.alias("nth"), n.alias("n"))
 
 
 @query("""WITH l AS (SELECT CAST(l_orderkey AS BIGINT) AS k, CAST(l_linenumber AS INTEGER) AS nth, CAST(l_orderkey * l_orderkey * (CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN 997 ELSE 1000003 END) + l_linenumber AS BIGINT) AS n FROM lineitem)
